@@ -6,10 +6,13 @@ windows below, one partition per series, stay small; all keys run side by side.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flightlens.functions.nulls import strict_sum
 from flightlens.functions.scalars import decimal_year, decimal_year_to_date, log_positive
+from flightlens.operators.clean import date_range
 
 
 def _by_position():
@@ -32,6 +35,11 @@ def number_days(daily: DataFrame) -> DataFrame:
     return daily.select("series_key", position.alias("t"), "date", "value")
 
 
+def period(series: DataFrame, start: date | None, end: date | None, combine: str = "and") -> DataFrame:
+    """Days of a series in a date range, numbered anew."""
+    return number_days(date_range(series, "date", start, end, combine))
+
+
 def truncate(series: DataFrame, start: float, end: float, frequency: int = 365) -> DataFrame:
     """Positions up to the decimal year ``end`` of a series that begins at ``start``."""
     return series.filter(F.col("t") <= int(round((end - start) * frequency)) + 1)

@@ -59,10 +59,9 @@ def enriched_flights(
 
 
 def _typed_rows(
-    flights: DataFrame, airports: DataFrame, aircraft: DataFrame, fleet: DataFrame, region: str
+    flights: DataFrame, airports: DataFrame, aircraft: DataFrame, region: str
 ) -> DataFrame:
-    found = _with_distance(_located(flights, airports, region))
-    found = enrich.attach_aircraft(found, enrich.aircraft_lookup(aircraft, fleet))
+    found = enrich.attach_aircraft(_with_distance(_located(flights, airports, region)), aircraft)
     found = parse_timestamps(found, ["day", "firstseen", "lastseen"])
     renamed = {
         "day": "flight_day", "firstseen": "flight_firstseen", "lastseen": "flight_lastseen",
@@ -73,10 +72,13 @@ def _typed_rows(
 
 
 def typed_flights(
-    flights: DataFrame, airports: DataFrame, aircraft: DataFrame, fleet: DataFrame, region: str = "EU"
+    flights: DataFrame, airports: DataFrame, aircraft: DataFrame, region: str = "EU"
 ) -> DataFrame:
-    """Distinct region flights with official type and role; flights differing only by callsign merge."""
-    return _typed_rows(flights, airports, aircraft, fleet, region).distinct()
+    """Distinct region flights with official type and role; flights differing only by callsign merge.
+
+    ``aircraft`` is the table of ``enrich.aircraft_lookup``, best stored by ``session.stored_lookup``.
+    """
+    return _typed_rows(flights, airports, aircraft, region).distinct()
 
 
 def rate_table(rates: DataFrame, grid: DataFrame) -> DataFrame:
@@ -121,15 +123,18 @@ def with_emissions(
 
 
 def emissions(
-    flights: DataFrame, airports: DataFrame, aircraft: DataFrame, fleet: DataFrame, lookup: DataFrame,
-    form: str, region: str = "EU", roles: dict[str, str] = ROLE_LABELS,
+    flights: DataFrame, airports: DataFrame, aircraft: DataFrame, lookup: DataFrame, form: str,
+    region: str = "EU", roles: dict[str, str] = ROLE_LABELS,
 ) -> DataFrame:
     """CO2 per flight, from raw flight lists.
 
+    ``aircraft`` and ``lookup`` are the tables of ``enrich.aircraft_lookup`` and ``fuel_lookup``; both are
+    small beside the flights, and stored by ``session.stored_lookup`` they need no shuffle of the flights.
+
     Rows that the final cleaning would lose (unknown place, role or fuel type) leave before the distinct,
     which is the one large shuffle; the answer is the same.
     """
-    rows = clean.drop_na(_typed_rows(flights, airports, aircraft, fleet, region))
+    rows = clean.drop_na(_typed_rows(flights, airports, aircraft, region))
     rows = rows.filter(role_label(F.col("aircraft_role"), roles).isNotNull())
     distinct = enrich.only_types(rows, lookup).distinct()
     return with_emissions(distinct, lookup, form, roles)

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from flightlens.operators import clean, sarima, series, smooth
+from flightlens.session import stored
 
 # Orders of the two published models and their season in days.
 MOVEMENTS = sarima.Sarima((3, 1, 3), (1, 0, 0), 31)
@@ -14,18 +15,13 @@ CO2 = sarima.Sarima((2, 1, 1), (0, 1, 0), 31)
 HORIZON = 365
 
 
-def training_series(
-    emissions: DataFrame, day: str, start: date | None, end: date | None, value: str | None = None,
-    key: str | None = None, period: int | None = 7, combine: str = "and",
-) -> DataFrame:
-    """Daily counts, or daily sums of ``value``, in a date range, with outliers replaced.
+def cleaned_series(daily: DataFrame, block: int | None = 7) -> DataFrame:
+    """A daily series with its outliers replaced.
 
-    ``period`` is the block length for choosing the power transform; None leaves the scale alone.
+    ``block`` is the block length for choosing the power transform; None leaves the scale alone.
     """
-    rows = emissions if start is None and end is None else clean.date_range(emissions, day, start, end, combine)
-    raw = series.daily_series(rows, day, value, key)
-    lambdas = None if period is None else smooth.boxcox_lambda(raw, period)
-    cleaned = smooth.clean_series(raw, lambdas)
+    lambdas = None if block is None else smooth.boxcox_lambda(daily, block)
+    cleaned = smooth.clean_series(daily, lambdas)
     return cleaned.select("series_key", "t", "date", F.col("cleaned").alias("value"))
 
 
@@ -34,6 +30,7 @@ def forecast_vs_actual(
     value: str = "value", divisor: float = 1.0, shown_from: date | None = None, shown_to: date | None = None,
 ) -> DataFrame:
     """Long table of real and forecast values, from the first training day to the end of the forecast."""
+    train, actual = stored(train, "train"), stored(actual, "actual")
     future = sarima.forecast(sarima.fit(train, model), model, horizon)
     table = series.compare(train, future, actual, start_year, value, divisor)
     if shown_from is None and shown_to is None:

@@ -13,14 +13,14 @@ from flightlens.operators import (
 from flightlens.plans import emissions as em
 from flightlens.plans import forecasts, prototype, reports
 from flightlens.plans import standins as st
-from flightlens.session import stored
+from flightlens.session import stored, stored_lookup
 
 QUERIES = {}
 YEAR = (date(1998, 1, 1), date(1998, 12, 31))
 TRAIN = (date(1998, 1, 1), date(1999, 12, 31))
 ACTUAL = (date(2000, 1, 1), date(2000, 12, 31))
 ACF_LAGS = 365
-SEASONAL_NAIVE = sarima.Sarima((0, 1, 0), (0, 1, 0), 7)
+SEASONAL_NAIVE = sarima.Sarima((0, 1, 0), (0, 1, 0), 7, with_constant=False)
 SHORT_AR = sarima.Sarima((2, 1, 0), (0, 0, 0), 7)
 
 
@@ -42,11 +42,12 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 
 def _inputs(spark: SparkSession, d: str):
-    return st.flights(spark, d), st.airports(spark, d), st.aircraft(spark, d), st.fleet(spark, d)
+    aircraft = enrich.aircraft_lookup(st.aircraft(spark, d), st.fleet(spark, d))
+    return st.flights(spark, d), st.airports(spark, d), stored_lookup(aircraft, "aircraft")
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
-    return stored(em.fuel_lookup(st.fuel_grid(spark, d), st.fuel_rates(spark, d)), "fuel-lookup")
+    return stored_lookup(em.fuel_lookup(st.fuel_grid(spark, d), st.fuel_rates(spark, d)), "fuel")
 
 
 def _emissions(spark: SparkSession, d: str, form: str, lookup: DataFrame | None = None) -> DataFrame:
@@ -78,8 +79,7 @@ def airport_attributes(spark, d):
 @query
 def flight_distance(spark, d):
     """Region flights with registration and great-circle distance."""
-    flights, airports, aircraft, _ = _inputs(spark, d)
-    found = em.enriched_flights(flights, airports, aircraft)
+    found = em.enriched_flights(st.flights(spark, d), st.airports(spark, d), st.aircraft(spark, d))
     return _rounded(_days(found, "day", "firstseen").drop("lastseen"), distance=6)
 
 
@@ -132,9 +132,9 @@ def emissions_cubic(spark, d):
 def emissions_rate(spark, d):
     """CO2 of the flights whose type has a rate per mile."""
     rates = em.rate_table(st.fuel_rates(spark, d), st.fuel_grid(spark, d))
-    rates = stored(rates.withColumnsRenamed({"type": "aircraft_type", "fuelburn": "rate"}), "rates")
     blank = {c: F.lit(None).cast("double") for c in ("c0", "c1", "c2", "c3")}
-    return _emission_rows(_emissions(spark, d, "cubic", rates.withColumns(blank)))
+    lookup = rates.withColumnsRenamed({"type": "aircraft_type", "fuelburn": "rate"}).withColumns(blank)
+    return _emission_rows(_emissions(spark, d, "cubic", stored_lookup(lookup, "rates")))
 
 
 @query
@@ -353,7 +353,7 @@ def unresolved_new(spark, d):
 @query
 def prototype_co2_day_role(spark, d):
     """Daily CO2 per fleet role from imputed flights."""
-    model = stored(em.fuel_model(st.fuel_grid(spark, d)), "fuel-model")
+    model = stored_lookup(em.fuel_model(st.fuel_grid(spark, d)), "model")
     rows = prototype.prototype_emissions(_imputed(spark, d), st.fleet(spark, d), model, "as_written")
     return _rounded(_days(prototype.co2_per_day_and_role(rows), "day"), CO2=0)
 
@@ -454,10 +454,12 @@ def _movements(spark, d):
     return series.daily_series(st.emissions(spark, d), "flight_day", None, "aircraft_role")
 
 
-def _between(spark, d, bounds):
-    return series.daily_series(
-        clean.date_range(st.emissions(spark, d), "flight_day", *bounds), "flight_day", "CO2", "aircraft_role"
-    )
+def _train_and_actual(rows: DataFrame, value: str | None, key: str | None, cleaned: bool):
+    """Daily series of both periods; the facts are read once, into a stored daily table."""
+    both = clean.date_range(rows, "flight_day", TRAIN[0], ACTUAL[1])
+    daily = stored(series.daily_series(both, "flight_day", value, key), "daily")
+    prepare = forecasts.cleaned_series if cleaned else lambda part: part
+    return [prepare(series.period(daily, *bounds)) for bounds in (TRAIN, ACTUAL)]
 
 
 @query
@@ -526,22 +528,19 @@ def series_clean_spikes(spark, d):
 @query
 def series_concat(spark, d):
     """Second period continues the positions of the first."""
-    return series.concat(_between(spark, d, TRAIN), _between(spark, d, ACTUAL))
+    return series.concat(*_train_and_actual(st.emissions(spark, d), "CO2", "aircraft_role", False))
 
 
 @query
 def forecast_vs_actual(spark, d):
     """Forecast by differences alone against the next year."""
+    train, actual = _train_and_actual(st.emissions(spark, d), "CO2", "aircraft_role", False)
     return forecasts.forecast_vs_actual(
-        _between(spark, d, TRAIN), _between(spark, d, ACTUAL), _plain(SEASONAL_NAIVE), 1998, value="CO2",
-        divisor=1000.0, shown_from=date(1999, 6, 1), shown_to=date(2000, 4, 20),
+        train, actual, SEASONAL_NAIVE, 1998, value="CO2", divisor=1000.0,
+        shown_from=date(1999, 6, 1), shown_to=date(2000, 4, 20),
     )
 
 
-def _plain(model):
-    return sarima.Sarima(model.order, model.seasonal, model.season, model.log, with_constant=False)
-
-
 def _coefficients(fitted: DataFrame, model: sarima.Sarima) -> DataFrame:
     named = [F.get("ar", F.lit(i)).alias(f"ar_{lag}") for i, lag in enumerate(model.ar_lags)]
     named += [F.get("ma", F.lit(i)).alias(f"ma_{lag}") for i, lag in enumerate(model.ma_lags)]
@@ -571,9 +570,7 @@ def sarima_fit_seasonal(spark, d):
 @query
 def movements_forecast(spark, d):
     """Daily movements: published model against the next year."""
-    rows = st.daily_emissions(spark, d)
-    train = forecasts.training_series(rows, "flight_day", *TRAIN)
-    actual = forecasts.training_series(rows, "flight_day", *ACTUAL)
+    train, actual = _train_and_actual(st.daily_emissions(spark, d), None, None, True)
     return forecasts.forecast_vs_actual(
         train, actual, forecasts.MOVEMENTS, 1998, value="ATM", shown_from=date(1999, 6, 1)
     )
@@ -582,9 +579,7 @@ def movements_forecast(spark, d):
 @query
 def co2_forecast(spark, d):
     """Daily CO2 in thousands: published model against the next year."""
-    rows = st.daily_emissions(spark, d)
-    train = forecasts.training_series(rows, "flight_day", *TRAIN, value="CO2")
-    actual = forecasts.training_series(rows, "flight_day", *ACTUAL, value="CO2")
+    train, actual = _train_and_actual(st.daily_emissions(spark, d), "CO2", None, True)
     return forecasts.forecast_vs_actual(
         train, actual, forecasts.CO2, 1998, value="CO2", divisor=1000.0, shown_from=date(1999, 6, 1)
     )

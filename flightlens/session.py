@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+# Rows up to which a lookup is sent whole to every executor: some 50 MB at 100 bytes a row.
+BROADCAST_ROWS = 500_000
 
 
 def get_session(app: str = "flightlens", **conf: str) -> SparkSession:
@@ -21,6 +24,7 @@ def get_session(app: str = "flightlens", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -42,12 +46,16 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Used for small derived tables that several later steps look up (fuel model per type, fences per
-    series). The table outlives executors, is computed once, and its real size is known to the
-    optimizer, which then broadcasts it below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles
-    beyond it.
+    For small derived tables that several later steps use: a daily series, a lookup. The table is
+    computed once, outlives executors, and its real size is known to the optimizer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_lookup(df: DataFrame, name: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table, marked for broadcast if its counted rows are few; else joins shuffle."""
+    table = stored(df, name)
+    return F.broadcast(table) if table.count() <= broadcast_rows else table
