@@ -1,8 +1,8 @@
 """Dimension joins.
 
-No side is broadcast by hint. Files and stored tables carry their true size, so the optimizer
-broadcasts a dimension below its threshold and shuffles beyond it; the facts are always the left side,
-where adaptive execution splits a hot key's partition over several tasks.
+Facts are always the left side. A dimension is broadcast after its rows have been counted
+(``session.checked_broadcast``); beyond the limit the join shuffles, and adaptive execution splits the
+partition of a hot key over several tasks.
 """
 
 from __future__ import annotations
@@ -10,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flightlens import schemas
+from flightlens.session import checked_broadcast
 
 
 def attach_airports(
     flights: DataFrame, airports: DataFrame, departure: str, arrival: str, attributes: list[str]
 ) -> DataFrame:
     """Look both ends up and add ``departure_<attribute>`` and ``arrival_<attribute>``."""
+    airports = checked_broadcast(airports.select("ICAO", *attributes))
     for role, code in (("departure", departure), ("arrival", arrival)):
         side = airports.select(
             F.col("ICAO").alias("_code"), *[F.col(a).alias(f"{role}_{a}") for a in attributes]

@@ -55,7 +55,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored_lookup(df: DataFrame, name: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A stored table, marked for broadcast if its counted rows are few; else joins shuffle."""
-    table = stored(df, name)
-    return F.broadcast(table) if table.count() <= broadcast_rows else table
+def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a table for broadcast if it has at most ``rows`` rows; otherwise joins with it shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def stored_lookup(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A derived lookup, computed once into a stored table, then checked for broadcast."""
+    return checked_broadcast(stored(df, name), rows)
