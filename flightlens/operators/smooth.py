@@ -50,15 +50,20 @@ def _middle(ordered: Column) -> Column:
     return (low + F.get(ordered, F.floor(size / 2).cast("int"))) / 2
 
 
+def _whole_window(series, half_width: int) -> Column:
+    """Positions with a full window on both sides."""
+    return (F.col("t") > half_width) & (F.col("t") <= F.max("t").over(series) - half_width)
+
+
 def clean_series(
     series: DataFrame, lambdas: DataFrame | None = None, season: int = 7, half_width: int = 3, fence: float = 3.0
 ) -> DataFrame:
     """Replace outliers; adds ``cleaned`` and ``is_outlier`` to a series.
 
     On the power-transformed scale (identity without ``lambdas``, one unknown exponent counts as 1):
-    subtract the median of the ``2 * half_width + 1`` surrounding values, then the median of what is left
-    at the same place of the season; a remainder outside the quartiles widened by ``fence`` interquartile
-    ranges is an outlier. It is replaced by the straight line between its nearest good neighbours, or by
+    subtract the median of the ``2 * half_width + 1`` surrounding values (the ends take the first and last
+    such median), then the median of what is left at the same place of the season; a remainder outside the
+    quartiles widened by ``fence`` interquartile ranges is an outlier. It is replaced by the straight line between its nearest good neighbours, or by
     the only neighbour at an end. Missing values stay missing.
     """
     keep = series.columns
@@ -74,6 +79,14 @@ def clean_series(
         work.withColumn("_z", F.when(F.col("_lam") == 1, F.col("value")).otherwise(boxcox(F.col("value"), F.col("_lam"))))
         .withColumn("_near", F.sort_array(F.collect_list("_z").over(ordered.rowsBetween(-half_width, half_width))))
         .withColumn("_level", _middle(F.col("_near")))
+        .withColumn("_inner", F.when(_whole_window(whole, half_width), F.struct("t", "_level")))
+        .withColumns({"_first": F.min("_inner").over(whole), "_last": F.max("_inner").over(whole)})
+        .withColumn(
+            "_level",
+            F.when(F.col("t") < F.col("_first.t"), F.col("_first._level"))
+            .when(F.col("t") > F.col("_last.t"), F.col("_last._level"))
+            .otherwise(F.col("_level")),
+        )
         .withColumn("_place", F.pmod(F.col("t"), F.lit(season)))
         .withColumn("_rest", F.col("_z") - F.col("_level"))
         .withColumn("_rest", F.col("_rest") - F.median("_rest").over(place))

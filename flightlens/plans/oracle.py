@@ -668,12 +668,20 @@ part(
 def cleaned(name: str, source: str) -> None:
     """Parts for cleaning the scaled series ``source``; ``name`` holds the result."""
     part(
-        f"{name}_rest",
-        f"""SELECT *, z - level - median(z - level) OVER (PARTITION BY series_key, t % 7) AS rest FROM (
-    SELECT *, median(z) OVER (PARTITION BY series_key ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS level
-    FROM {source})""",
+        f"{name}_levels",
+        f"""SELECT *, max(t) OVER (PARTITION BY series_key) AS n,
+    median(z) OVER (PARTITION BY series_key ORDER BY t ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS l FROM {source}""",
         source,
     )
+    part(
+        f"{name}_rest",
+        f"""SELECT *, z - level - median(z - level) OVER (PARTITION BY series_key, t % 7) AS rest
+  FROM (SELECT series_key, t, date, value, lam, z, CASE WHEN t < t_first THEN l_first WHEN t > t_last THEN l_last ELSE l END
+      AS level
+    FROM {name}_levels LEFT JOIN (SELECT series_key, min(t) AS t_first, arg_min(l, t) AS l_first, max(t) AS t_last,
+      arg_max(l, t) AS l_last FROM {name}_levels WHERE t > 3 AND t <= n - 3 GROUP BY 1) USING (series_key))""",
+        f"{name}_levels",
+    )
     part(
         f"{name}_flags",
         f"""SELECT r.*, coalesce(rest < q1 - 3 * (q3 - q1) OR rest > q3 + 3 * (q3 - q1), false) AS is_outlier
