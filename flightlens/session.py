@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -38,9 +39,12 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    made = tempfile.mkdtemp(prefix="flightlens-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"flightlens-{application}-")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
