@@ -116,7 +116,8 @@ def local_trend(daily: DataFrame, keys: list[str], x: str, y: str, bandwidth: in
     """Locally weighted straight line with tricube weights, evaluated every ``step`` units of integer ``x``.
 
     Every observation is sent to the evaluation points closer than ``bandwidth``, a number fixed by the
-    two parameters, and each point is solved from weighted sums that combine before the shuffle.
+    two parameters, and each point is solved from weighted sums that combine before the shuffle. Points
+    outside the span of the observations are left out.
     """
     points = F.sequence(
         F.ceil((F.col(x) - bandwidth + 1) / step).cast("long"), F.floor((F.col(x) + bandwidth - 1) / step).cast("long")
@@ -124,7 +125,7 @@ def local_trend(daily: DataFrame, keys: list[str], x: str, y: str, bandwidth: in
     u = F.abs(F.col("_d")) / bandwidth
     weight = F.pow(1 - u * u * u, F.lit(3))
     w, d, v = F.col("_w"), F.col("_d"), F.col(y).cast("double")
-    span = daily.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    series = Window.partitionBy(*keys)
     sums = (
         daily.dropna(subset=[x, y])
         .withColumn("_p", F.explode(points))
@@ -134,9 +135,9 @@ def local_trend(daily: DataFrame, keys: list[str], x: str, y: str, bandwidth: in
         .groupBy(*keys, "_p")
         .agg(
             F.sum(w).alias("_sw"), F.sum(w * d).alias("_sd"), F.sum(w * d * d).alias("_sdd"),
-            F.sum(w * v).alias("_sv"), F.sum(w * d * v).alias("_sdv"),
+            F.sum(w * v).alias("_sv"), F.sum(w * d * v).alias("_sdv"), F.min(x).alias("_lo"), F.max(x).alias("_hi"),
         )
-        .join(span, keys, "inner")
+        .withColumns({"_lo": F.min("_lo").over(series), "_hi": F.max("_hi").over(series)})
         .filter(F.col("_p").between(F.col("_lo"), F.col("_hi")))
     )
     det = F.col("_sw") * F.col("_sdd") - F.col("_sd") * F.col("_sd")

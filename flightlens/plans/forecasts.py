@@ -18,7 +18,8 @@ HORIZON = 365
 def cleaned_series(daily: DataFrame, block: int | None = 7) -> DataFrame:
     """A daily series with its outliers replaced.
 
-    ``block`` is the block length for choosing the power transform; None leaves the scale alone.
+    ``block`` is the block length for choosing the power transform; None leaves the scale alone. The series is
+    read twice, so it should be a stored table.
     """
     lambdas = None if block is None else smooth.boxcox_lambda(daily, block)
     cleaned = smooth.clean_series(daily, lambdas)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from flightlens.functions.classify import MANUFACTURERS, ROLE_LABELS
+from flightlens.plans.forecasts import CO2, MOVEMENTS
 from flightlens.plans.registry import ACF_LAGS
 from flightlens.plans.standins import PART_ROLES
 
@@ -625,36 +626,42 @@ oracle(
     f"SELECT series_key, k AS lag, {rounded('p', 6)} AS pacf FROM levinson WHERE k > 0",
     "levinson",
 )
-part(
-    "blocks",
-    """SELECT series_key, b, avg(value) AS m, stddev_samp(value) AS s FROM (
-    SELECT *, (max(t) OVER (PARTITION BY series_key) - t) // 7 AS b FROM co2_series)
+def power_transform(name: str, source: str) -> None:
+    """Parts ``<name>_lambdas`` (exponent per series) and ``name`` (the series with ``lam`` and ``z``)."""
+    part(
+        f"{name}_blocks",
+        f"""SELECT series_key, b, avg(value) AS m, stddev_samp(value) AS s FROM (
+    SELECT *, (max(t) OVER (PARTITION BY series_key) - t) // 7 AS b FROM {source})
   GROUP BY ALL HAVING count(value) = 7 AND avg(value) > 0""",
-    "co2_series",
-)
-part(
-    "spread",
-    """SELECT series_key, lam, stddev_samp(s / pow(m, 1 - lam)) / avg(s / pow(m, 1 - lam)) AS cv
-  FROM blocks, (SELECT round(-1 + i * CAST(0.1 AS DOUBLE), 6) AS lam FROM generate_series(0, 30) g(i)) GROUP BY 1, 2""",
-    "blocks",
-)
-part(
-    "lambdas",
-    """SELECT series_key, lam, cv FROM spread WHERE cv IS NOT NULL
+        source,
+    )
+    part(
+        f"{name}_spread",
+        f"""SELECT series_key, lam, stddev_samp(s / pow(m, 1 - lam)) / avg(s / pow(m, 1 - lam)) AS cv
+  FROM {name}_blocks, (SELECT round(-1 + i * CAST(0.1 AS DOUBLE), 6) AS lam FROM generate_series(0, 30) g(i))
+  GROUP BY 1, 2""",
+        f"{name}_blocks",
+    )
+    part(
+        f"{name}_lambdas",
+        f"""SELECT series_key, lam, cv FROM {name}_spread WHERE cv IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY series_key ORDER BY cv, lam) = 1""",
-    "spread",
-)
+        f"{name}_spread",
+    )
+    part(
+        name,
+        f"""SELECT s.*, CASE WHEN lam = 1 THEN value WHEN value > 0 THEN
+    CASE WHEN lam = 0 THEN ln(value) ELSE (pow(value, lam) - 1) / lam END END AS z
+  FROM (SELECT series_key, t, date, value, coalesce(lam, 1) AS lam FROM {source} LEFT JOIN {name}_lambdas USING (series_key)) s""",
+        source, f"{name}_lambdas",
+    )
+
+
+power_transform("scaled", "co2_series")
 oracle(
     "boxcox_lambda",
-    f"SELECT series_key, {rounded('lam', 6)} AS lam, {rounded('cv', 8)} AS cv FROM lambdas",
-    "lambdas",
-)
-part(
-    "scaled",
-    """SELECT s.*, lam, CASE WHEN lam = 1 THEN value WHEN value > 0 THEN
-    CASE WHEN lam = 0 THEN ln(value) ELSE (pow(value, lam) - 1) / lam END END AS z
-  FROM co2_series s LEFT JOIN lambdas USING (series_key)""",
-    "co2_series", "lambdas",
+    f"SELECT series_key, {rounded('lam', 6)} AS lam, {rounded('cv', 8)} AS cv FROM scaled_lambdas",
+    "scaled_lambdas",
 )
 part(
     "spiked",
@@ -805,3 +812,153 @@ oracle(
     f"SELECT series_key, h AS t, {rounded('y', 6)} AS value FROM ar_path WHERE h > 0",
     "ar_path",
 )
+
+# --- seasonal models: two-stage least squares, written for the published orders ------------------
+
+
+def two_stage(name: str, source: str, model, horizon: int) -> None:
+    """Parts ``<name>_fit`` (``c``: solved coefficients) and ``<name>_path`` (forecasts) of a model on a series."""
+    order, ar, ma = model.long_order, model.ar_lags, model.ma_lags
+    part(
+        f"{name}_y",
+        f"SELECT series_key, list(value ORDER BY t) AS y FROM {source} GROUP BY 1",
+        source,
+    )
+    x = "y"
+    for lag in model.difference_lags:
+        x = f"list_transform(list_zip(({x})[{lag + 1}:], ({x})[:len({x}) - {lag}]), lambda p: p[1] - p[2])"
+    part(f"{name}_x", f"SELECT series_key, y, {x} AS x FROM {name}_y", f"{name}_y")
+    centre = "list_avg(x)" if model.constant else "CAST(0 AS DOUBLE)"
+    part(f"{name}_mu", f"SELECT *, {centre} AS mu FROM {name}_x", f"{name}_x")
+    part(
+        f"{name}_sd",
+        f"SELECT *, sqrt(list_avg(list_transform(x, lambda v: (v - mu) * (v - mu)))) AS sd FROM {name}_mu",
+        f"{name}_mu",
+    )
+    part(
+        f"{name}_z",
+        f"SELECT *, list_transform(x, lambda v: (v - mu) / sd) AS z FROM {name}_sd",
+        f"{name}_sd",
+    )
+    part(
+        f"{name}_rows",
+        f"""SELECT series_key, unnest(generate_series(1, len(z))) AS t, unnest(z) AS z0 FROM {name}_z""",
+        f"{name}_z",
+    )
+    part(
+        f"{name}_acf",
+        f"""SELECT series_key, list(r ORDER BY lag) AS r FROM (
+    SELECT a.series_key, lag, sum(a.z0 * b.z0) / any_value(p.power) AS r
+    FROM (SELECT *, unnest(generate_series(1, {order})) AS lag FROM {name}_rows) a
+    JOIN {name}_rows b ON a.series_key = b.series_key AND b.t = a.t + a.lag
+    JOIN (SELECT series_key, sum(z0 * z0) AS power FROM {name}_rows GROUP BY 1) p ON a.series_key = p.series_key
+    GROUP BY 1, 2) GROUP BY 1""",
+        f"{name}_rows",
+    )
+    part(
+        f"{name}_levinson",
+        f"""SELECT series_key, 0 AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS v, r FROM {name}_acf
+    UNION ALL
+    SELECT series_key, k + 1, list_append(list_transform(phi, lambda a, i: a - q * phi[k + 1 - i]), q), v * (1 - q * q), r
+    FROM (SELECT *, (r[k + 1] - coalesce(list_sum(list_transform(phi, lambda a, i: a * r[k + 1 - i])), 0)) / v AS q
+      FROM {name}_levinson WHERE k < {order})""",
+        f"{name}_acf",
+    )
+    part(
+        f"{name}_e",
+        f"""SELECT series_key, y, x, z, mu, sd, list_transform(z, lambda v, t: CASE WHEN t > {order} THEN
+    v - list_sum(list_transform(phi, lambda f, i: f * z[t - i])) END) AS e
+  FROM {name}_z JOIN (SELECT series_key, phi FROM {name}_levinson WHERE k = {order}) USING (series_key)""",
+        f"{name}_z", f"{name}_levinson",
+    )
+    start = max([*ar, *(lag + order for lag in ma)])
+    past = [f"z[t - {lag}]" for lag in ar] + [f"e[t - {lag}]" for lag in ma]
+    terms = (["CAST(1 AS DOUBLE)"] if model.constant else []) + past
+    part(
+        f"{name}_design",
+        f"""SELECT series_key, [{', '.join(terms)}, z[t]] AS d
+  FROM (SELECT *, unnest(generate_series({start + 1}, len(z))) AS t FROM {name}_e)""",
+        f"{name}_e",
+    )
+    size = len(terms)
+    rows = ", ".join(
+        "[" + ", ".join(f"avg(d[{i + 1}] * d[{j + 1}])" for j in range(size + 1)) + "]" for i in range(size)
+    )
+    part(f"{name}_matrix", f"SELECT series_key, [{rows}] AS m FROM {name}_design GROUP BY 1", f"{name}_design")
+    gauss_jordan(f"{name}_solved", f"{name}_matrix", "series_key", size)
+    first = 1 if model.constant else 0
+    ar_sum = " + ".join(f"c[{first + i + 1}]" for i in range(len(ar))) or "0"
+    constant = f"c[1] * sd + mu * (1 - ({ar_sum}))" if model.constant else "CAST(0 AS DOUBLE)"
+    part(
+        f"{name}_fit",
+        f"""SELECT series_key, len(y) AS n, {constant} AS constant, c[{first + 1}:] AS b, y, x,
+    list_transform(e, lambda v: v * sd) AS e FROM {name}_e JOIN {name}_solved USING (series_key)""",
+        f"{name}_e", f"{name}_solved",
+    )
+    step = "constant" + "".join(f" + b[{i + 1}] * x[-{lag}]" for i, lag in enumerate(ar))
+    step += "".join(f" + b[{len(ar) + i + 1}] * e[-{lag}]" for i, lag in enumerate(ma))
+    level = "nx" + "".join(f" - ({weight}) * y[-{lag}]" for lag, weight in model.difference_weights().items())
+    keep = max([*ar, *ma, *model.difference_weights()]) + 1
+    part(
+        f"{name}_path",
+        f"""SELECT series_key, 0 AS h, constant, b, y[-{keep}:] AS y, x[-{keep}:] AS x, e[-{keep}:] AS e FROM {name}_fit
+    UNION ALL
+    SELECT series_key, h + 1, constant, b, list_append(y, {level})[2:], list_append(x, nx)[2:], list_append(e, 0)[2:]
+    FROM (SELECT *, {step} AS nx FROM {name}_path WHERE h < {horizon})""",
+        f"{name}_fit",
+    )
+
+
+two_stage("seasonal", "moves", MOVEMENTS, 0)
+_lags = [f"ar_{lag}" for lag in MOVEMENTS.ar_lags] + [f"ma_{lag}" for lag in MOVEMENTS.ma_lags]
+oracle(
+    "sarima_fit_seasonal",
+    f"SELECT series_key, CAST(n AS INT) AS n, {rounded('constant', 6)} AS constant, "
+    + ", ".join(f"{rounded(f'b[{i + 1}]', 6)} AS {lag}" for i, lag in enumerate(_lags))
+    + " FROM seasonal_fit",
+    "seasonal_fit",
+)
+
+
+def forecast_report(query: str, measure: str, model, value: str, divisor: int, digits: int) -> None:
+    """Twin of a published forecast: daily table, cleaning, fit, path, comparison."""
+    for stage, bounds in (("train", ("1998-01-01", "1999-12-31")), ("actual", ("2000-01-01", "2000-12-31"))):
+        name = f"{query}_{stage}"
+        part(
+            f"{name}_raw",
+            f"""SELECT 'all' AS series_key, flight_day AS date, CAST({measure} AS DOUBLE) AS value,
+    CAST(row_number() OVER (ORDER BY flight_day) AS INT) AS t FROM days_only
+  WHERE flight_day BETWEEN DATE '{bounds[0]}' AND DATE '{bounds[1]}' GROUP BY flight_day""",
+            "days_only",
+        )
+        power_transform(f"{name}_power", f"{name}_raw")
+        cleaned(f"{name}_tidy", f"{name}_power")
+        part(name, f"SELECT series_key, t, date, cleaned AS value FROM {name}_tidy", f"{name}_tidy")
+    two_stage(query, f"{query}_train", model, 365)
+    train, actual = f"{query}_train", f"{query}_actual"
+    last = f"(SELECT max(t) FROM {train})"
+    part(
+        f"{query}_planned",
+        f"""SELECT series_key, t, value FROM {train} UNION ALL
+  SELECT series_key, CAST({last} + h AS INT), y[-1] FROM {query}_path WHERE h > 0""",
+        train, f"{query}_path",
+    )
+    part(
+        f"{query}_real",
+        f"""SELECT series_key, t, value FROM {train} UNION ALL
+  SELECT series_key, CAST({last} + t AS INT), value FROM {actual}""",
+        train, actual,
+    )
+    oracle(
+        query,
+        f"""SELECT series_key, date, data_source, {rounded(f'value / {divisor}', digits)} AS {value} FROM (
+  SELECT p.series_key, p.date, r.value AS real, p.value AS forecast
+  FROM (SELECT *, {dated('t', 1998)} AS date FROM {query}_planned) p
+  LEFT JOIN (SELECT *, {dated('t', 1998)} AS date FROM {query}_real) r USING (series_key, date))
+UNPIVOT INCLUDE NULLS (value FOR data_source IN (real, forecast)) WHERE date >= DATE '1999-06-01'""",
+        f"{query}_planned", f"{query}_real",
+    )
+
+
+forecast_report("movements_forecast", "count(*)", MOVEMENTS, "ATM", 1, 4)
+forecast_report("co2_forecast", "sum(co2)", CO2, "CO2", 1000, 1)

@@ -512,7 +512,7 @@ def boxcox_lambda(spark, d):
 @query
 def series_clean(spark, d):
     """Outliers of daily CO2 replaced, on the scale of the chosen power transform."""
-    raw = _role_series(spark, d)
+    raw = stored(_role_series(spark, d), "daily")
     cleaned = smooth.clean_series(raw, smooth.boxcox_lambda(raw, 7))
     return _rounded(cleaned, cleaned=0)
 
@@ -564,22 +564,25 @@ def sarima_forecast(spark, d):
 def sarima_fit_seasonal(spark, d):
     """All coefficients of the published movements model."""
     model = forecasts.MOVEMENTS
-    return _coefficients(sarima.fit(_movements(spark, d), model), model)
+    fitted = _coefficients(sarima.fit(_movements(spark, d), model), model)
+    return _rounded(fitted, **{c: 6 for c in fitted.columns if c not in ("series_key", "n")})
 
 
 @query
 def movements_forecast(spark, d):
     """Daily movements: published model against the next year."""
     train, actual = _train_and_actual(st.daily_emissions(spark, d), None, None, True)
-    return forecasts.forecast_vs_actual(
+    table = forecasts.forecast_vs_actual(
         train, actual, forecasts.MOVEMENTS, 1998, value="ATM", shown_from=date(1999, 6, 1)
     )
+    return _rounded(table, ATM=4)
 
 
 @query
 def co2_forecast(spark, d):
     """Daily CO2 in thousands: published model against the next year."""
     train, actual = _train_and_actual(st.daily_emissions(spark, d), "CO2", None, True)
-    return forecasts.forecast_vs_actual(
+    table = forecasts.forecast_vs_actual(
         train, actual, forecasts.CO2, 1998, value="CO2", divisor=1000.0, shown_from=date(1999, 6, 1)
     )
+    return _rounded(table, CO2=1)
