@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flightlens.functions.linalg import solve
 
@@ -32,18 +32,15 @@ def fit_polynomial(points: DataFrame, group: str, x: str, y: str, degree: int =
     )
     scale = F.when(F.col("_m") > 0, F.col("_m"))
 
-    def scaled(name: str, k: int):
-        return F.col(f"{name}{k}") / F.col("n") / F.pow(scale, F.lit(k))
+    def scaled(name: str, count: int) -> Column:
+        return F.transform(F.array(*[f"{name}{k}" for k in range(count)]), lambda v, k: v / F.col("n") / F.pow(F.col("_m"), k))
 
-    rows = F.array(
-        *[
-            F.array(*[scaled("_s", i + j) for j in range(degree + 1)], scaled("_t", i))
-            for i in range(degree + 1)
-        ]
-    )
-    fitted = sums.withColumn("_c", F.when(F.col("_distinct") > degree, solve(rows, degree + 1)))
-    return fitted.select(
-        group,
-        *[(F.element_at("_c", k + 1) / F.pow(scale, F.lit(k))).alias(f"c{k}") for k in range(degree + 1)],
-        "n",
+    # row i of the system: power sums i to i + degree, then the right side
+    rows = F.transform(
+        F.sequence(F.lit(1), F.lit(degree + 1)),
+        lambda i: F.concat(F.slice("_s", i, F.lit(degree + 1)), F.slice("_t", i, F.lit(1))),
     )
+    moments = sums.withColumn("_m", scale).withColumns({"_s": scaled("_s", len(powers)), "_t": scaled("_t", degree + 1)})
+    fitted = moments.withColumn("_c", F.when(F.col("_distinct") > degree, solve(rows, degree + 1)))
+    coefficients = [F.element_at("_c", k + 1) / F.pow("_m", F.lit(k)) for k in range(degree + 1)]
+    return fitted.select(group, *[c.alias(f"c{k}") for k, c in enumerate(coefficients)], "n")
