@@ -5,10 +5,12 @@ from __future__ import annotations
 import csv
 import re
 from concurrent.futures import ThreadPoolExecutor
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flightlens import schemas
+from flightlens.operators.clean import date_range
 from flightlens.operators.reshape import bind_rows, select_prefix
 
 # The text format of typed flight lists and the token for a missing value.
@@ -41,8 +43,9 @@ def read_by_header(spark: SparkSession, paths: list[str], schema: T.StructType)
     """CSV files with differing headers, bound by column name.
 
     Spark binds all files of one read by position, so files are read in one group per distinct header.
-    Only the first line of each file is looked at beforehand. Columns outside ``schema`` are left out,
-    columns a file lacks are null.
+    Only the first line of each file is looked at beforehand, several files at a time; flight lists are
+    monthly, so files are few and large. Columns outside ``schema`` are left out, columns a file lacks are
+    null.
     """
 
     def first_line(path: str) -> str:
@@ -141,6 +144,16 @@ def read_callsigns(spark: SparkSession, path: str) -> DataFrame:
     return read_by_header(spark, [path], schemas.CALLSIGNS)
 
 
-def read_emissions(spark: SparkSession, path: str) -> DataFrame:
-    """The emissions table written by ``writers.write_emissions``; filters on ``flight_year`` prune folders."""
-    return spark.read.parquet(path)
+def read_emissions(
+    spark: SparkSession, path: str, start: date | None = None, end: date | None = None
+) -> DataFrame:
+    """The emissions table written by ``writers.write_emissions``, optionally only some days.
+
+    The bounds also apply to ``flight_year``, so other years' folders are not opened.
+    """
+    table = spark.read.parquet(path)
+    if start is not None:
+        table = table.filter(F.col("flight_year") >= start.year)
+    if end is not None:
+        table = table.filter(F.col("flight_year") <= end.year)
+    return table if start is None and end is None else date_range(table, "flight_day", start, end)

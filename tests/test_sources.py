@@ -125,4 +125,8 @@ def test_emissions_round_trip_prunes_years(spark, tmp_path, rows):
     assert set(back.columns) == {*schemas.EMISSIONS.names, "flight_year"}
     one = back.filter("flight_year = 2019")
     assert rows(one, "CO2") == [(2020.0,), (2021.0,), (2022.0,)]
-    assert "PartitionFilters: [isnotnull(flight_year" in one._jdf.queryExecution().executedPlan().toString()
+    days = readers.read_emissions(spark, path, date(2018, 1, 3), date(2018, 1, 31))
+    assert rows(days, "CO2") == [(2021.0,)]
+    for df in (one, days):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(flight_year" in text
