@@ -33,7 +33,8 @@ def fit_polynomial(points: DataFrame, group: str, x: str, y: str, degree: int =
     scale = F.when(F.col("_m") > 0, F.col("_m"))
 
     def scaled(name: str, count: int) -> Column:
-        return F.transform(F.array(*[f"{name}{k}" for k in range(count)]), lambda v, k: v / F.col("n") / F.pow(F.col("_m"), k))
+        sums = F.array(*[f"{name}{k}" for k in range(count)])
+        return F.transform(sums, lambda v, k: v / F.col("n") / F.pow("_m", k))
 
     # row i of the system: power sums i to i + degree, then the right side
     rows = F.transform(

@@ -209,7 +209,8 @@ def forecast(fitted: DataFrame, model: Sarima, horizon: int) -> DataFrame:
         tail("x", max(model.ar_lags, default=1)).alias("x"),
         tail("e", max(model.ma_lags, default=1)).alias("e"),
     )
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), start, step, lambda state: F.slice(state["y"], -horizon, horizon))
+    steps = F.sequence(F.lit(1), F.lit(horizon))
+    path = F.aggregate(steps, start, step, lambda state: F.slice(state["y"], -horizon, horizon))
     rows = fitted.select("series_key", F.posexplode(path).alias("_h", "value"))
     value = F.exp("value") if model.log else F.col("value")
     return rows.select("series_key", (F.col("_h") + 1).alias("t"), value.alias("value"))

@@ -63,8 +63,8 @@ def clean_series(
     On the power-transformed scale (identity without ``lambdas``, one unknown exponent counts as 1):
     subtract the median of the ``2 * half_width + 1`` surrounding values (the ends take the first and last
     such median), then the median of what is left at the same place of the season; a remainder outside the
-    quartiles widened by ``fence`` interquartile ranges is an outlier. It is replaced by the straight line between its nearest good neighbours, or by
-    the only neighbour at an end. Missing values stay missing.
+    quartiles widened by ``fence`` interquartile ranges is an outlier. It is replaced by the straight line
+    between its nearest good neighbours, or by the only neighbour at an end. Missing values stay missing.
     """
     keep = series.columns
     if lambdas is None:

@@ -521,7 +521,8 @@ oracle(
 )
 oracle(
     "date_filter_or",
-    """SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS day FROM orders)
+    """SELECT * FROM (
+  SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS day FROM orders)
 WHERE day >= DATE '1998-01-01' OR day <= DATE '1999-12-31'""",
 )
 part(
@@ -652,7 +653,8 @@ def power_transform(name: str, source: str) -> None:
         name,
         f"""SELECT s.*, CASE WHEN lam = 1 THEN value WHEN value > 0 THEN
     CASE WHEN lam = 0 THEN ln(value) ELSE (pow(value, lam) - 1) / lam END END AS z
-  FROM (SELECT series_key, t, date, value, coalesce(lam, 1) AS lam FROM {source} LEFT JOIN {name}_lambdas USING (series_key)) s""",
+  FROM (SELECT series_key, t, date, value, coalesce(lam, 1) AS lam
+    FROM {source} LEFT JOIN {name}_lambdas USING (series_key)) s""",
         source, f"{name}_lambdas",
     )
 
@@ -768,7 +770,8 @@ part(
 part("steps_mean", "SELECT series_key, avg(x) AS mu, count(*) + 1 AS n FROM steps GROUP BY 1", "steps")
 part(
     "steps_scale",
-    """SELECT series_key, mu, any_value(n) AS n, sqrt(avg(pow(x - mu, 2))) AS sd FROM steps JOIN steps_mean USING (series_key)
+    """SELECT series_key, mu, any_value(n) AS n, sqrt(avg(pow(x - mu, 2))) AS sd
+  FROM steps JOIN steps_mean USING (series_key)
   GROUP BY ALL""",
     "steps", "steps_mean",
 )

@@ -33,7 +33,7 @@ def test_dimensions_are_broadcast_after_the_check(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         flights, airports, aircraft = registry._inputs(spark, FOLDER)
-        facts = flights.checkpoint()
+        facts = session.stored(flights, "flights")
         text = plan(registry.em.typed_flights(facts, airports, aircraft))
         assert text.count("BroadcastHashJoin") >= 3 and "SortMergeJoin [est" not in text
         # one shuffle of the facts: the distinct
