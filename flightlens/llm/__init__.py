@@ -1,0 +1,10 @@
+"""Operators that prepare text for model training. Nothing else in the package imports from here.
+
+Functions that run inside Python workers are shipped by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
