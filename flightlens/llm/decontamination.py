@@ -57,20 +57,40 @@ def as_codes(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes, lengths
 
 
-def sampled_positions(steps: int) -> np.ndarray:
-    """(walks, samples, positions) of the sampled steps; a walk moves every other step, so twice the length covers it."""
-    return np.random.default_rng(5).integers(0, max(1, steps), (WALKS, SAMPLES, POSITIONS))
+def sampled_positions(sizes: np.ndarray) -> np.ndarray:
+    """(items, walks, samples, positions): sampled steps of each item, the same fractions of twice its length for all.
 
+    A walk moves every other step, so twice the length covers the item.
+    """
+    parts = np.random.default_rng(5).random((WALKS, SAMPLES, POSITIONS))
+    return (parts * 2 * sizes[:, None, None, None]).astype(np.int64)
+
+
+def item_signs(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """What each item's embeddings hold at its sampled positions, and these positions."""
+    codes, lengths = as_codes(items)
+    at = sampled_positions(lengths)
+    signs = np.zeros(at.shape, dtype=np.uint8)
+    for walk in range(WALKS if items else 0):
+        out = embed(codes, lengths, 2 * int(lengths.max()), 100 + walk)
+        signs[:, walk] = out[np.arange(len(items))[:, None, None], at[:, walk]]
+    return signs, at
 
-def collide(windows: list[str], item: str) -> np.ndarray:
-    """For every window, whether some sample of some walk agrees with the item's in all positions."""
-    codes, lengths = as_codes([item, *windows])
-    steps = 2 * len(item)
+
+def collide(windows: list[str], of: np.ndarray, signs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For every window, whether some sample of some walk agrees with its item's (number ``of``) in all positions.
+
+    Windows of all items are embedded together, step by step.
+    """
+    codes, lengths = as_codes(windows)
     hit = np.zeros(len(windows), dtype=bool)
-    for walk, samples in enumerate(sampled_positions(steps)):
-        out = embed(codes, lengths, steps, 100 + walk)
-        same = out[1:] == out[0]
-        hit |= same[:, samples].all(axis=2).any(axis=1)
+    for walk in range(WALKS if windows else 0):
+        left = np.flatnonzero(~hit)  # a window that has collided needs no further walk
+        if not len(left):
+            break
+        out = embed(codes[left], lengths[left], int(at[of[left]].max()) + 1, 100 + walk)
+        same = out[np.arange(len(left))[:, None, None], at[of[left], walk]] == signs[of[left], walk]
+        hit[left] = same.all(axis=2).any(axis=1)
     return hit
 
 
@@ -118,6 +138,7 @@ class Items:
         self.owner = np.array([r for o in owners for r, _ in o], dtype=np.int64)
         self.offset = np.array([a for o in owners for _, a in o], dtype=np.int64)
         self.edits = np.array([edits_allowed(len(t)) for _, t in self.rows], dtype=np.int64)
+        self.signs, self.at = item_signs([t for _, t in self.rows])
 
     def anchors(self, text: str) -> list[tuple[int, int]]:
         """(item, start) of item-sized windows of a normalised text with two whole pieces in place."""
@@ -177,24 +198,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
 
 
 def _search(batch: pa.RecordBatch, known: Items) -> pa.RecordBatch:
-    windows: dict[int, list[tuple[int, int, str]]] = {}
+    placed: list[tuple[int, int, int, str]] = []
     for row, text in enumerate(batch.column(1).to_pylist()):
         if text:
             plain = normalised(text)
             for item, start in known.anchors(plain):
                 size, slack = len(known.rows[item][1]), int(known.edits[item])
                 around = plain[max(0, start - 2 * slack) : start + size + 2 * slack]
-                windows.setdefault(item, []).append((row, min(start, 2 * slack), around))
+                placed.append((row, item, min(start, 2 * slack), around))
     best: dict[tuple[int, int], int] = {}
-    for item, placed in windows.items():
-        size, slack = len(known.rows[item][1]), int(known.edits[item])
-        for some in (placed[i : i + 5000] for i in range(0, len(placed), 5000)):
-            hit = collide([around[at : at + size] for _, at, around in some], known.rows[item][1])
-            for (row, _, around), near in zip(some, hit, strict=True):
-                if near and best.get((row, item)) != 0:
-                    edits = edit_distance_within(known.rows[item][1], around)
-                    if edits <= slack:
-                        best[row, item] = min(edits, best.get((row, item), edits))
+    for some in (placed[i : i + 5000] for i in range(0, len(placed), 5000)):
+        windows = [around[at : at + len(known.rows[item][1])] for _, item, at, around in some]
+        hit = collide(windows, np.array([p[1] for p in some]), known.signs, known.at)
+        for (row, item, _, around), near in zip(some, hit, strict=True):
+            if near and best.get((row, item)) != 0:
+                edits = edit_distance_within(known.rows[item][1], around)
+                if edits <= known.edits[item]:
+                    best[row, item] = min(edits, best.get((row, item), edits))
     found = sorted(best.items())
     keys = batch.column(0).take(pa.array([r for (r, _), _ in found], pa.int64()))
     ids = pa.array([known.rows[i][0] for (_, i), _ in found], pa.int64())
