@@ -20,16 +20,19 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     """The shard of every item. ``vectors``: one row per item, one column per dimension, in shares of the total.
 
     Items go in order of their largest share. Among shards with room for the item's first dimension (all shards, if none
-    has), it goes where the dot product with the residual capacity is highest; the lowest number wins a tie.
+    has), it goes where the dot product with the residual capacity is highest; the lowest number wins a tie. The last
+    tenth, small items all, evens out the first dimension: it goes where most of that is left.
     """
     capacity = 1.0 / shards
     left = np.full((shards, vectors.shape[1]), capacity)
     out = np.zeros(len(vectors), dtype=np.int64)
-    for i in np.lexsort((np.arange(len(vectors)), -vectors.max(axis=1))) if len(vectors) else ():
+    order = np.lexsort((np.arange(len(vectors)), -vectors.max(axis=1))) if len(vectors) else np.zeros(0, dtype=int)
+    placed = np.cumsum(vectors[order, 0]) if len(vectors) else order
+    for i, done in zip(order.tolist(), placed.tolist(), strict=True):
         v = vectors[i]
         score = left @ v
         fits = left[:, 0] >= v[0]
-        if fits.any():
+        if fits.any() and done <= 0.9:
             score = np.where(fits, score, -np.inf)
         else:
             score = left[:, 0]

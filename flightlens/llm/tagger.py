@@ -93,8 +93,8 @@ def _lse(a, axis):
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def marginals(scores: np.ndarray, trans: np.ndarray):
-    """Label probabilities (steps, windows, labels), expected transitions, and log of the partition sum."""
+def marginals(scores: np.ndarray, trans: np.ndarray, pairs: bool = True):
+    """Label probabilities (steps, windows, labels), expected transitions if asked for, and log of the partition sum."""
     steps = len(scores)
     alpha, beta = np.empty_like(scores), np.zeros_like(scores)
     alpha[0] = scores[0]
@@ -105,7 +105,7 @@ def marginals(scores: np.ndarray, trans: np.ndarray):
     total = _lse(alpha[-1], 1)
     single = np.exp(alpha + beta - total[None, :, None])
     pair = np.zeros_like(trans)
-    for t in range(1, steps):
+    for t in range(1, steps if pairs else 1):
         pair += np.exp(alpha[t - 1][:, :, None] + trans + (scores[t] + beta[t])[:, None, :] - total[:, None, None]).sum(0)
     return single, pair, total
 
@@ -204,25 +204,35 @@ def train(examples: list, steps: int = 240, size: int = 32, rate: float = 0.02,
     return model
 
 
-def tag(text: str, model: dict, most: int = 2000) -> list[tuple[int, int, int, float]]:
-    """(start, end, kind, score) over a whole text.
+def tag(texts: list[str], model: dict, most: int = 2000) -> list[list[tuple[int, int, int, float]]]:
+    """(start, end, kind, score) over whole texts, one list per text.
 
-    Windows overlap by half. Only those with a digit or an at sign are read. Each is decoded; a character gets its label
-    from the window in which it lies most centrally, so every character is labelled once, and runs of a label become
-    spans across window borders. The score is the mean probability of the span's labels.
+    Windows overlap by half. Only those with a digit or an at sign are read, ``most`` at a time, those of all texts
+    together. Each is decoded; a character gets its label from the window in which it lies most centrally, so every
+    character is labelled once, and runs of a label become spans across window borders. The score is the mean probability
+    of the span's labels.
     """
-    starts = sorted({max(0, k * STRIDE) for m in _TRIGGER.finditer(text) for k in (m.start() // STRIDE - 1, m.start() // STRIDE)})
-    labels: dict[int, tuple[int, int, float]] = {}  # position -> (distance from the centre, label, probability)
-    for first in range(0, len(starts), most):
-        some = starts[first : first + most]
-        codes, _ = _batch([(text[s : s + WINDOW], []) for s in some])
+    places = []
+    for index, text in enumerate(texts):
+        starts = {max(0, k * STRIDE) for m in _TRIGGER.finditer(text) for k in (m.start() // STRIDE - 1, m.start() // STRIDE)}
+        places += [(index, s) for s in sorted(starts)]
+    labels: list[dict[int, tuple[int, int, float]]] = [{} for _ in texts]  # position -> (from centre, label, probability)
+    for first in range(0, len(places), most):
+        some = places[first : first + most]
+        codes, _ = _batch([(texts[i][s : s + WINDOW], []) for i, s in some])
         scores, *_ = emissions(model, codes)
-        path, single = viterbi(scores, model["trans"]), marginals(scores, model["trans"])[0]
-        for r, s in enumerate(some):
-            for t in np.flatnonzero(np.ones(min(WINDOW, len(text) - s))).tolist():
+        path, single = viterbi(scores, model["trans"]), marginals(scores, model["trans"], pairs=False)[0]
+        sure = np.take_along_axis(single.transpose(1, 0, 2), path[:, :, None], axis=2)[:, :, 0]
+        for (i, s), row, p in zip(some, path.tolist(), sure.tolist(), strict=True):
+            own = labels[i]
+            for t in range(min(WINDOW, len(texts[i]) - s)):
                 far = abs(2 * t - WINDOW)
-                if (old := labels.get(s + t)) is None or far < old[0]:
-                    labels[s + t] = (far, int(path[r, t]), float(single[t, r, path[r, t]]))
+                if (old := own.get(s + t)) is None or far < old[0]:
+                    own[s + t] = (far, row[t], p[t])
+    return [_as_spans(own) for own in labels]
+
+
+def _as_spans(labels: dict[int, tuple[int, int, float]]) -> list[tuple[int, int, int, float]]:
     spans: list[list] = []
     for at in sorted(labels):
         _, label, p = labels[at]
