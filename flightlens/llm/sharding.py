@@ -69,11 +69,16 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int =
     large = groups.filter(share > 1 / (shards * PARTS))
     lots = groups.filter(share <= 1 / (shards * PARTS)).groupBy(*_lot(F.col("_each"), F.col("_group"))).agg(*sums)
     own, common = large.orderBy("_group").collect(), lots.orderBy("_class", "_part").collect()
-    items: list[tuple] = []
-    for g in own:
-        parts = np.array([g["size"], g["tokens"], g["rows"]]) / totals
-        pieces = int(max(1, np.ceil(parts.max() * shards * 4))) if parts.max() > 1 / shards else 1
-        items += [(parts / pieces, g["_group"], pieces, p) for p in range(pieces)]
+    vector = lambda r: np.array([r["size"], r["tokens"], r["rows"]]) / totals
+    # a group over a whole shard (there are fewer than 3 * shards) is cut into pieces of about a quarter of a shard
+    pieces = {g["_group"]: int(np.ceil(vector(g).max() * shards * 4)) if vector(g).max() > 1 / shards else 1 for g in own}
+    whole = [g for g in own if pieces[g["_group"]] == 1]
+    items: list[tuple] = [(vector(g), g["_group"], 1, 0) for g in whole]
+    if len(whole) < len(own):
+        cuts = spark.createDataFrame([(g, n) for g, n in pieces.items() if n > 1], "_group string, _pieces long")
+        piece = F.shiftright(F.col("_fine") * F.col("_pieces"), 32).alias("_piece")
+        cut = rows.join(F.broadcast(cuts), "_group").groupBy("_group", "_pieces", piece).agg(*sums)
+        items += [(vector(r), r["_group"], r["_pieces"], r["_piece"]) for r in cut.orderBy("_group", "_piece").collect()]
     items += [(np.array([x["size"], x["tokens"], x["rows"]]) / totals, x["_class"], x["_part"]) for x in common]
     placed = place(np.array([x[0] for x in items]).reshape(-1, 3), shards).tolist()
     own_rows = [(x[1], x[2], x[3], s) for x, s in zip(items, placed, strict=True) if len(x) == 4]
