@@ -29,8 +29,12 @@ def date_range(
 ) -> DataFrame:
     """Keep days from ``start`` to ``end``, both included.
 
-    ``combine="or"`` keeps a day that satisfies either bound, which is every known day.
+    ``combine="or"`` keeps a day that satisfies either bound, which is every known day. On a table written by year, both
+    bounds also name the years, so that only their folders are read.
     """
+    if "flight_year" in df.columns and column == "flight_day" and combine == "and":
+        df = df.filter(F.lit(True) if start is None else F.col("flight_year") >= start.year)
+        df = df.filter(F.lit(True) if end is None else F.col("flight_year") <= end.year)
     day = F.col(column).cast("date")
     bounds: list[Column] = []
     if start is not None:

@@ -59,13 +59,22 @@ def levinson(acf: Column) -> Column:
     return F.aggregate(lags, start, step)
 
 
+def _acf(y: Column, max_lag: int) -> Column:
+    centred = let(mean(y), lambda m: F.transform(y, lambda v: v - m))
+    return let(centred, lambda x: autocorrelations(x, max_lag))
+
+
+def autocorrelation(series: DataFrame, max_lag: int) -> DataFrame:
+    """``series_key, lag, acf`` for lags 1 to ``max_lag``."""
+    lags = as_arrays(series).select("series_key", F.posexplode(_acf(F.col("y"), max_lag)).alias("_i", "acf"))
+    return lags.select("series_key", (F.col("_i") + 1).alias("lag"), "acf")
+
+
 def correlogram(series: DataFrame, max_lag: int) -> DataFrame:
     """``series_key, lag, acf, pacf`` for lags 1 to ``max_lag``."""
 
     def both(y: Column) -> Column:
-        centred = let(mean(y), lambda m: F.transform(y, lambda v: v - m))
-        acf = let(centred, lambda x: autocorrelations(x, max_lag))
-        return let(acf, lambda r: F.arrays_zip(r.alias("acf"), levinson(r)["pacf"].alias("pacf")))
+        return let(_acf(y, max_lag), lambda r: F.arrays_zip(r.alias("acf"), levinson(r)["pacf"].alias("pacf")))
 
     lags = as_arrays(series).select("series_key", F.posexplode(both(F.col("y"))).alias("_i", "_c"))
     return lags.select("series_key", (F.col("_i") + 1).alias("lag"), "_c.acf", "_c.pacf")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flightlens import schemas
-from flightlens.session import checked_broadcast
+from flightlens.session import BROADCAST_ROWS, checked_broadcast
 
 
 def attach_airports(
@@ -26,9 +26,9 @@ def attach_airports(
     return flights
 
 
-def attach_registration(flights: DataFrame, aircraft: DataFrame) -> DataFrame:
+def attach_registration(flights: DataFrame, aircraft: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Left join of the registration by aircraft address; an unknown address matches an unknown address."""
-    side = aircraft.select(F.col("icao24").alias("_icao24"), "registration")
+    side = checked_broadcast(aircraft.select(F.col("icao24").alias("_icao24"), "registration"), rows)
     return flights.join(side, F.col("icao24").eqNullSafe(F.col("_icao24")), "left").drop("_icao24")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import comb
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flightlens.functions.linalg import solve
@@ -11,9 +14,9 @@ def fit_polynomial(points: DataFrame, group: str, x: str, y: str, degree: int =
     """Least squares of ``y`` on powers of ``x`` per group: ``group, c0..c<degree>, n``.
 
     Points are first summed per group and x, so that a group with very many points is spread over the
-    cluster; power sums follow from that small table. The sums are scaled by the largest x and the row
-    count before solving, which keeps the system well conditioned. Groups with too few distinct x get
-    null coefficients.
+    cluster; power sums follow from that small table. They are taken of x moved and scaled to -1..1 per
+    group, which keeps the system well conditioned wherever x lies, and the solution is expanded to plain
+    powers. Groups with too few distinct x get null coefficients.
     """
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     cells = (
@@ -22,26 +25,36 @@ def fit_polynomial(points: DataFrame, group: str, x: str, y: str, degree: int =
         .groupBy(group, "_x")
         .agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sy"))
     )
+    ends = cells.groupBy(F.col(group).alias("_g")).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    middle, half = (F.col("_lo") + F.col("_hi")) / 2, (F.col("_hi") - F.col("_lo")) / 2
+    ends = ends.select("_g", middle.alias("_mid"), F.when(half > 0, half).alias("_half"))
+    unit = (F.col("_x") - F.col("_mid")) / F.coalesce("_half", F.lit(1.0))
+    cells = cells.join(ends, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_x", unit)
     powers = range(2 * degree + 1)
-    sums = cells.groupBy(group).agg(
+    sums = cells.groupBy(group, "_mid", "_half").agg(
         F.count(F.lit(1)).alias("_distinct"),
         F.sum("_n").alias("n"),
-        F.max(F.abs(F.col("_x"))).alias("_m"),
         *[F.sum(F.col("_n") * F.pow("_x", F.lit(k))).alias(f"_s{k}") for k in powers],
         *[F.sum(F.col("_sy") * F.pow("_x", F.lit(k))).alias(f"_t{k}") for k in range(degree + 1)],
     )
-    scale = F.when(F.col("_m") > 0, F.col("_m"))
 
     def scaled(name: str, count: int) -> Column:
-        sums = F.array(*[f"{name}{k}" for k in range(count)])
-        return F.transform(sums, lambda v, k: v / F.col("n") / F.pow("_m", k))
+        return F.transform(F.array(*[f"{name}{k}" for k in range(count)]), lambda v: v / F.col("n"))
 
     # row i of the system: power sums i to i + degree, then the right side
     rows = F.transform(
         F.sequence(F.lit(1), F.lit(degree + 1)),
         lambda i: F.concat(F.slice("_s", i, F.lit(degree + 1)), F.slice("_t", i, F.lit(1))),
     )
-    moments = sums.withColumn("_m", scale).withColumns({"_s": scaled("_s", len(powers)), "_t": scaled("_t", degree + 1)})
+    moments = sums.withColumns({"_s": scaled("_s", len(powers)), "_t": scaled("_t", degree + 1)})
     fitted = moments.withColumn("_c", F.when(F.col("_distinct") > degree, solve(rows, degree + 1)))
-    coefficients = [F.element_at("_c", k + 1) / F.pow("_m", F.lit(k)) for k in range(degree + 1)]
-    return fitted.select(group, *[c.alias(f"c{k}") for k, c in enumerate(coefficients)], "n")
+
+    def plain(k: int) -> Column:
+        """Coefficient of x**k: sum over j of c_j * binomial(j, k) * (-middle)**(j - k) / half**j."""
+        terms = [
+            F.element_at("_c", j + 1) * F.lit(float(comb(j, k))) * F.pow(-F.col("_mid"), F.lit(j - k)) / F.pow("_half", F.lit(j))
+            for j in range(k, degree + 1)
+        ]
+        return reduce(lambda a, b: a + b, terms)
+
+    return fitted.select(group, *[plain(k).alias(f"c{k}") for k in range(degree + 1)], "n")

@@ -41,7 +41,10 @@ def nest_points(points: DataFrame, key: str = "type") -> DataFrame:
 
 
 def pivot_wide(df: DataFrame, keys: list[str], name: str, names: list[str], value: Column) -> DataFrame:
-    """Named values of ``name`` become columns holding the aggregate ``value``."""
+    """Named values of ``name`` become columns holding the aggregate ``value``; a value not listed is an error."""
+    other = df.filter(~F.col(name).isin(names) | F.col(name).isNull()).select(name).limit(1).collect()
+    if other:
+        raise ValueError(f"{name} holds {other[0][0]!r}, which is not listed")
     return df.groupBy(*keys).pivot(name, names).agg(value)
 
 

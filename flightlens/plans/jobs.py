@@ -5,9 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flightlens.functions.scalars import parse_timestamps
+from flightlens.functions.scalars import decimal_year_of, parse_timestamps
 from flightlens.operators import clean, enrich, reshape, series
 from flightlens.plans import emissions as em
 from flightlens.plans import forecasts, reports
@@ -93,8 +93,9 @@ def forecast_tables(
             forecasts.cleaned_series(stored(series.daily_series(df, "flight_day", value), f"daily-{name}"))
             for df in (period, latest)
         )
+        first = train.agg(F.min("date")).first()[0] or start  # the period may begin inside a year, or lack its first days
         tables[name] = forecasts.forecast_vs_actual(
-            train, actual, model, float(start.year), value=name, divisor=divisor, shown_from=shown_from,
+            train, actual, model, decimal_year_of(first), value=name, divisor=divisor, shown_from=shown_from,
             shown_to=shown_to,
         )
     return tables

@@ -8,6 +8,7 @@ from flightlens.functions.fuel import co2, polynomial_fuel
 from flightlens.functions.geo import distance_nm
 from flightlens.functions.nulls import fill_from, paste
 from flightlens.operators import clean, enrich
+from flightlens.session import checked_broadcast, stored
 
 AIRPORT_ATTRIBUTES = ["name", "latitude_deg", "longitude_deg", "elevation_ft", "continent"]
 
@@ -32,10 +33,15 @@ def callsign_types(flights: DataFrame) -> DataFrame:
 
 
 def impute_types(flights: DataFrame) -> DataFrame:
-    """Fill unknown type and registration from the callsign's first complete flight."""
-    known = callsign_types(flights).withColumnsRenamed({"registration": "_registration", "typecode": "_typecode"})
+    """Fill unknown type and registration from the callsign's first complete flight.
+
+    The known callsigns are a stored table: broadcast if small, else joined by a shuffle of both sides, which adaptive
+    execution splits at a hot callsign, the unknown one included.
+    """
+    known = stored(callsign_types(flights), "callsigns")
+    known = known.withColumnsRenamed({"registration": "_registration", "typecode": "_typecode"})
     return (
-        flights.join(known, "callsign", "left")
+        flights.join(checked_broadcast(known), "callsign", "left")
         .withColumn("typecode", fill_from(F.col("typecode"), F.col("_typecode")))
         .withColumn("registration", fill_from(F.col("registration"), F.col("_registration")))
         .select(*flights.columns)
@@ -47,6 +53,13 @@ def unresolved(imputed: DataFrame) -> DataFrame:
     return clean.first_per_key(imputed.filter(F.col("typecode").isNull()), "callsign", ["firstseen", "icao24"])
 
 
+def unresolved_flights(flights: DataFrame) -> DataFrame:
+    """``unresolved(impute_types(flights))``, reduced to one flight per callsign before anything is joined."""
+    known = callsign_types(flights).select("callsign")
+    first = clean.first_per_key(flights.filter(F.col("typecode").isNull()), "callsign", ["firstseen", "icao24"])
+    return first.join(known, "callsign", "left_anti")
+
+
 def not_looked_up(missing: DataFrame, looked_up: DataFrame) -> DataFrame:
     """Unresolved callsigns that an earlier lookup does not hold."""
     return enrich.unknown_to(missing, looked_up, "callsign")

@@ -318,9 +318,12 @@ def union_by_name(spark, d):
 # --- prototype -----------------------------------------------------------------------------------
 
 
+def _located(spark, d):
+    return prototype.located_flights(st.prototype_flights(spark, d), st.airports(spark, d))
+
+
 def _imputed(spark, d):
-    found = prototype.located_flights(st.prototype_flights(spark, d), st.airports(spark, d))
-    return prototype.impute_types(found)
+    return prototype.impute_types(_located(spark, d))
 
 
 @query
@@ -340,13 +343,13 @@ def impute_coalesce(spark, d):
 @query
 def unresolved_links(spark, d):
     """Lookup links of callsigns that stay without a type."""
-    return prototype.lookup_links(prototype.unresolved(_imputed(spark, d)))
+    return prototype.lookup_links(prototype.unresolved_flights(_located(spark, d)))
 
 
 @query
 def unresolved_new(spark, d):
     """Unresolved callsigns an earlier lookup does not hold."""
-    missing = prototype.unresolved(_imputed(spark, d))
+    missing = prototype.unresolved_flights(_located(spark, d))
     return prototype.not_looked_up(missing, st.known_callsigns(spark, d)).select("callsign", "origin", "destination")
 
 
@@ -494,7 +497,7 @@ def decimal_year_date(spark, d):
 def acf(spark, d):
     """Autocorrelation of twice differenced log movements."""
     changes = series.difference(_movements(spark, d), [1, 1], log=True)
-    return _rounded(correlation.correlogram(changes, ACF_LAGS).drop("pacf"), acf=6)
+    return _rounded(correlation.autocorrelation(changes, ACF_LAGS), acf=6)
 
 
 @query

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -33,18 +31,13 @@ def get_session(app: str = "flightlens", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only for a local master."""
+    """The folder named by ``spark.checkpoint.dir``; if unset, one beside the warehouse, for a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
-    return _local_dir(spark.sparkContext.applicationId)
-
-
-@cache
-def _local_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"flightlens-{application}-")
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/_stored"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a table for broadcast if it has at most ``rows`` rows; otherwise joins with it shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def stored_lookup(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -153,3 +153,16 @@ def test_solve_against_numpy(spark):
 def test_solve_singular_is_null(spark):
     table = F.array(F.array(lit(1.0), lit(1.0), lit(1.0)), F.array(lit(1.0), lit(1.0), lit(2.0)))
     assert one(spark, linalg.solve(table, 2)) == [None, None]
+
+
+def test_strict_numbers_and_days(spark):
+    from datetime import date
+
+    rows = [(t,) for t in ("1e30", "12d", "NaN", "12", " 1.5e1 ", "Infinity", "2019-03-01 00:00:00")]
+    df = spark.createDataFrame(rows, "t string").select("t", scalars.to_number(F.col("t")).alias("n"), scalars.to_utc_timestamp(F.col("t")).cast("string").alias("s"))
+    found = {r.t: (r.n, r.s) for r in df.collect()}
+    assert found["12d"] == (None, None) and found["NaN"] == (None, None) and found["Infinity"] == (None, None)
+    assert found["1e30"][1] is None and found["12"] == (12.0, "1970-01-01 00:00:12") and found[" 1.5e1 "][0] == 15.0
+    days = [date(2017, 7, 1), date(2020, 12, 31), date(2019, 1, 1), date(2020, 2, 29)]
+    back = spark.range(1).select(*[scalars.decimal_year_to_date(F.lit(scalars.decimal_year_of(d))) for d in days]).first()
+    assert list(back) == days

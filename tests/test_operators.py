@@ -128,9 +128,11 @@ def test_nest(spark):
 
 def test_pivot_wide(spark, rows):
     df = spark.createDataFrame([("k", "a", 1), ("k", "a", 2), ("k", "c", 5)], "k string, n string, v int")
-    wide = reshape.pivot_wide(df, ["k"], "n", ["a", "b"], F.collect_list("v"))
+    wide = reshape.pivot_wide(df, ["k"], "n", ["a", "b", "c"], F.collect_list("v"))
     found = wide.first()
-    assert sorted(found["a"]) == [1, 2] and not found["b"]
+    assert sorted(found["a"]) == [1, 2] and not found["b"] and found["c"] == [5]
+    with pytest.raises(ValueError, match="'c'"):
+        reshape.pivot_wide(df, ["k"], "n", ["a", "b"], F.collect_list("v"))
 
 
 def test_select_prefix(spark):
@@ -207,6 +209,13 @@ def test_fit_recovers_cubic(spark):
     assert found["n"] == 5
 
 
+def test_fit_far_from_zero(spark):
+    exact = [("T", 8000.0 + 20 * k, 5 + 2 * (8000.0 + 20 * k) + 1e-6 * (8000.0 + 20 * k) ** 3) for k in range(11)]
+    found = polyfit.fit_polynomial(points(spark, exact), "type", "distance", "fuelburn").first()
+    assert found["c1"] == pytest.approx(2, rel=1e-3) and found["c3"] == pytest.approx(1e-6, rel=1e-6)
+    assert abs(found["c2"]) < 1e-7 and found["c0"] == pytest.approx(5, abs=5)
+
+
 def test_fit_too_few_points(spark):
     few = [("T", x, x) for x in (1.0, 2.0, 3.0)] * 4 + [("T", None, 1.0), ("T", 4.0, None)]
     found = polyfit.fit_polynomial(points(spark, few), "type", "distance", "fuelburn").first()

@@ -80,7 +80,7 @@ def test_hot_key_is_split_in_a_shuffled_lookup(spark):
         address = F.when(F.col("id") % 3 < 2, F.lit("hot")).otherwise(F.concat(F.lit("a"), F.col("id")))
         flights = spark.range(60000, numPartitions=6).select(address.alias("icao24"), F.sha2(F.col("id").cast("string"), 512).alias("pay"))
         aircraft = spark.createDataFrame([("hot", "R0"), ("a2", "R2"), ("a5", "R5")], "icao24 string, registration string")
-        joined = enrich.attach_registration(flights, aircraft)
+        joined = enrich.attach_registration(flights, aircraft, rows=0)
         assert joined.filter("registration = 'R0'").count() == 40000
         joined.write.format("noop").mode("overwrite").save()
         joined.collect()
@@ -105,14 +105,13 @@ class Settings:
         self.named, self.conf, self.sparkContext = named, self, self
         self.master, self.applicationId = master, "app-1"
 
-    def get(self, key, default):
-        return {"spark.checkpoint.dir": self.named}.get(key) or default
+    def get(self, key, default=None):
+        return {"spark.checkpoint.dir": self.named, "spark.sql.warehouse.dir": "file:/w"}.get(key) or default
 
 
 def test_shared_folder():
     assert session.shared_dir(Settings("hdfs://x/y", "spark://m")) == "hdfs://x/y"
-    local = session.shared_dir(Settings(None, "local[4]"))
-    assert "flightlens-app-1-" in local and session.shared_dir(Settings(None, "local[4]")) == local
+    assert session.shared_dir(Settings(None, "local[4]")) == "file:/w/_stored"
     with pytest.raises(ValueError):
         session.shared_dir(Settings(None, "spark://m"))
 
