@@ -13,6 +13,8 @@ from flightlens.session import checked_broadcast, stored
 
 MEMO = 300_000  # words whose hash a worker remembers; then it starts anew
 CHUNK = 2_000_000  # keys that a task sorts at once
+FEW = 64  # ids under one key up to which they are paired; more are chained
+MARK = np.iinfo(np.int64).min  # stands for the ids of a key that were chained already
 BLOCK_SETS, BLOCK_ITEMS = 512, 1_000_000  # a tile holds two blocks of at most about so many sets and shingles
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -55,12 +57,47 @@ def set_digest(items: np.ndarray) -> int:
     return int(mix64(total).view(np.int64)[0])
 
 
+def parities(items: np.ndarray) -> bytes:
+    """A bitmap whose bits say whether an odd number of items falls on them; about one bit per item, at least 64."""
+    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, len(items)))), 6, 14))
+    return np.packbits(np.bincount((items % np.uint64(bits)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def differ_at_least(a: bytes, b: bytes) -> int:
+    """How many items two sets differ in at least, from their parities: each bit that differs needs one."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def plausible_edges(edges: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the sure edges, and those pairs whose bitmaps allow the similarity. ``signs``: (id, size, bits)."""
+    left, right = (signs.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "bits")]) for side in "ab")
+    pairs = edges.filter("not sure").select("a", "b").distinct()
+    pairs = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
+    # similar sets differ in at most (a + b)(100 - p) / (100 + p) items
+    pairs = pairs.filter(F.abs(F.col("size_a") - F.col("size_b")) * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "n", "bits_a", "bits_b"))
+            kept = [(p, q) for p, q, m, s, t in zip(a, b, n, x, y, strict=True) if differ_at_least(s, t) * (100 + percent) <= m * (100 - percent)]
+            yield record_batch(kept, ("a", "b"), (pa.int64(), pa.int64()))
+
+    judged = pairs.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("n"), "bits_a", "bits_b").mapInArrow(judge, "a long, b long")
+    return judged.union(edges.filter("sure").select("a", "b"))
+
+
 def linked_edges(docs: DataFrame, columns: list[str], work: Callable) -> DataFrame:
-    """(a, b): ids that have some key in common, directly or through other ids of that key.
+    """(a, b, sure): pairs of ids that have some key in common; if ``sure``, edges that only connect such ids.
 
-    ``work(batch)`` gives ids, and keys with the index of the id each belongs to. A task sorts its own keys and links ids
-    that share one right there, so of many equal keys a single one is sent on, packed with others of its range of the
-    key space. Thus no key, however frequent, gathers more than one entry per chunk of a task.
+    ``work(batch)`` gives ids, and keys with the index of the id each belongs to. Keys are sent packed by range of the key
+    space. A key with at most FEW ids gives all their pairs, so each pair can be judged by itself. A key with more ids is
+    not paired: its ids are chained, in the task that meets them, and one goes on for all with a mark. Thus no key gathers
+    more than FEW entries per chunk of a task, however frequent it is.
     """
     parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,13 +116,18 @@ def linked_edges(docs: DataFrame, columns: list[str], work: Callable) -> DataFra
             yield packed(held)
 
     def packed(held):
-        keys, ids, a, b = chained(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
+        keys, ids, number, count = grouped(np.concatenate([k for k, _ in held]), np.concatenate([i for _, i in held]))
+        many = count > FEW
+        a, b = forest(*chain(keys[many], ids[many]))
+        first = many & np.concatenate([[True], number[1:] != number[:-1]])
+        marked = keys[first]
+        keys = np.concatenate([keys[~many], marked, marked])
+        ids = np.concatenate([ids[~many], ids[first], np.full(len(marked), MARK)])
         part = (keys % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
         ends = [*cuts[1:], len(order)]
         rows = [(int(part[order[s]]), keys[order[s:e]].tobytes(), ids[order[s:e]].tobytes(), b"", b"") for s, e in zip(cuts, ends, strict=True)]
-        a, b = forest(a, b)
         rows.append((int(len(keys) % parts), b"", b"", a.tobytes(), b.tobytes()))
         return record_batch(rows, ("part", "keys", "ids", "a", "b"), (pa.int32(), *[pa.binary()] * 4))
 
@@ -95,25 +137,53 @@ def linked_edges(docs: DataFrame, columns: list[str], work: Callable) -> DataFra
             for into, name in zip(columns, ("keys", "ids", "a", "b"), strict=True):
                 into += batch.column(name).to_pylist()
         keys, ids = np.frombuffer(b"".join(columns[0]), np.uint64), np.frombuffer(b"".join(columns[1]), np.int64)
-        _, _, a, b = chained(keys, ids)
+        keys, ids, number, count = grouped(keys, ids)
+        marked = np.zeros(int(number[-1]) + 1 if len(number) else 0, dtype=bool)
+        marked[number[ids == MARK]] = True
+        sure = (count > FEW) | marked[number]
+        own = ids != MARK
+        a, b = chain(keys[sure & own], ids[sure & own])
         a = np.concatenate([a, np.frombuffer(b"".join(columns[2]), np.int64)])
         b = np.concatenate([b, np.frombuffer(b"".join(columns[3]), np.int64)])
         a, b = forest(a, b)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        few = ~sure & (count > 1)
+        c, d = pairs_of(number[few], count[few], ids[few])
+        if len(a) + len(c):
+            flag = np.arange(len(a) + len(c)) < len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, c])), pa.array(np.concatenate([b, d])), pa.array(flag)], ["a", "b", "sure"])
 
     sent = docs.select(*columns).mapInArrow(spread, "part int, keys binary, ids binary, a binary, b binary")
-    return sent.repartition("part").mapInArrow(gather, "a long, b long")
+    return sent.repartition("part").mapInArrow(gather, "a long, b long, sure boolean")
 
 
-def chained(keys: np.ndarray, ids: np.ndarray):
-    """(keys, ids) with one id per key, and edges (a, b) that chain the distinct ids of every key."""
+def grouped(keys: np.ndarray, ids: np.ndarray):
+    """Distinct (key, id) in order, and for each entry the number of its key and how many ids that key has."""
     order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
-    same = keys[1:] == keys[:-1] if len(keys) else np.zeros(0, dtype=bool)
-    link = same & (ids[1:] != ids[:-1]) if len(keys) else same
-    first = np.concatenate([[True], ~same]) if len(keys) else np.zeros(0, dtype=bool)
-    return keys[first], ids[first], ids[:-1][link], ids[1:][link]
+    if len(keys):
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])])
+        keys, ids = keys[new], ids[new]
+    number = np.cumsum(np.concatenate([[False], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    return keys, ids, number, np.bincount(number)[number] if len(keys) else number
+
+
+def chain(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that chain the ids of every key; entries are in order of key."""
+    same = keys[1:] == keys[:-1]
+    return ids[:-1][same], ids[1:][same]
+
+
+def pairs_of(number: np.ndarray, count: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of ids under one key, each once; meant for keys with few ids."""
+    left, right = [], []
+    for step in range(1, int(count.max(initial=1))):
+        same = number[step:] == number[:-step]
+        left.append(ids[:-step][same])
+        right.append(ids[step:][same])
+    if not left:
+        return ids[:0], ids[:0]
+    both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
+    return both[:, 0], both[:, 1]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flightlens.llm.common import in_batches, null_safe_join, read_documents
 from flightlens.llm.matching import (
-    WordHash, components, exact_links, linked_edges, mix64, record_batch, set_digest, shingles, words_of,
+    WordHash, components, exact_links, linked_edges, mix64, parities, plausible_edges, record_batch, set_digest, shingles, words_of,
 )
 from flightlens.session import checked_broadcast, stored
 
@@ -62,8 +62,8 @@ class Bands:
 
 
 def classes(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` but the text, with ``n_shingles`` and ``_class``, the digest of the set (null if empty)."""
-    rest = [c for c in docs.columns if c not in (text, "n_shingles", "_class")]
+    """All columns of ``docs`` but the text, with ``n_shingles``, ``_class``, the digest of the set, and its ``_bits``."""
+    rest = [c for c in docs.columns if c not in (text, "n_shingles", "_class", "_bits")]
 
     def run(batches):
         memo = WordHash()
@@ -71,12 +71,13 @@ def classes(docs: DataFrame, width: int, text: str = "text") -> DataFrame:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(words_of(t or ""), width, memo) for t in batch.column(0).to_pylist()]
             digests = [set_digest(s) if len(s) else None for s in sets]
-            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64())]
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*rest, "n_shingles", "_class"])
+            bits = [parities(s) if len(s) else None for s in sets]
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.int64()), pa.array(bits, pa.binary())]
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], *made], [*rest, "n_shingles", "_class", "_bits"])
 
         yield from in_batches(work)(batches)
 
-    schema = docs.select(*rest).schema.add("n_shingles", "long").add("_class", "long")
+    schema = docs.select(*rest).schema.add("n_shingles", "long").add("_class", "long").add("_bits", "binary")
     return docs.select(text, *rest).mapInArrow(run, schema)
 
 
@@ -114,7 +115,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spark = docs.sparkSession
     light = stored(classes(docs.select("doc_id", "text"), width), "near-classes")
     own = stored(
-        light.filter("_class is not null").groupBy(F.col("_class").alias("id")).agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("weight")),
+        light.filter("_class is not null").groupBy(F.col("_class").alias("id")).agg(
+            F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("weight"), F.first("n_shingles").alias("size"), F.first("_bits").alias("bits")
+        ),
         "near-sizes",
     )
 
@@ -134,7 +137,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         empty = np.zeros(0, dtype=np.int64)
         return np.array(ids, dtype=np.int64), np.concatenate(found or [empty.astype(np.uint64)]), np.concatenate(owner or [empty])
 
-    candidates = components(linked_edges(docs, ["text"], keys), "near-candidates")
+    edges = stored(linked_edges(docs, ["text"], keys), "near-pairs")
+    candidates = components(plausible_edges(edges, own.select("id", "size", "bits"), percent), "near-candidates")
     members = checked_broadcast(candidates.select("id"))
     texts = docs.select("doc_id", "text")
     wanted = light.join(members.withColumnRenamed("id", "_class"), "_class", "left_semi").select("doc_id").distinct()
