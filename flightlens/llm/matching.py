@@ -13,7 +13,7 @@ from flightlens.session import checked_broadcast, stored
 
 MEMO = 300_000  # words whose hash a worker remembers; then it starts anew
 CHUNK = 2_000_000  # keys that a task sorts at once
-FEW = 64  # ids under one key up to which they are paired; more are chained
+FEW = 32  # ids under one key up to which they are paired; more are chained
 MARK = np.iinfo(np.int64).min  # stands for the ids of a key that were chained already
 BLOCK_SETS, BLOCK_ITEMS = 512, 1_000_000  # a tile holds two blocks of at most about so many sets and shingles
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -74,7 +74,7 @@ def differ_at_least(a: bytes, b: bytes) -> int:
 
 
 def plausible_edges(edges: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): the sure edges, and those pairs whose bitmaps allow the similarity. ``signs``: (id, size, bits)."""
+    """(a, b): the sure edges, and edges that connect what is connected by pairs whose bitmaps allow the similarity. ``signs``: (id, size, bits)."""
     left, right = (signs.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "size", "bits")]) for side in "ab")
     pairs = edges.filter("not sure").select("a", "b").distinct()
     pairs = pairs.join(left, F.col("a") == F.col("id_a")).join(right, F.col("b") == F.col("id_b"))
@@ -82,10 +82,14 @@ def plausible_edges(edges: DataFrame, signs: DataFrame, percent: int) -> DataFra
     pairs = pairs.filter(F.abs(F.col("size_a") - F.col("size_b")) * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
-            a, b, n, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "n", "bits_a", "bits_b"))
-            kept = [(p, q) for p, q, m, s, t in zip(a, b, n, x, y, strict=True) if differ_at_least(s, t) * (100 + percent) <= m * (100 - percent)]
-            yield record_batch(kept, ("a", "b"), (pa.int64(), pa.int64()))
+            left, right, n, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "n", "bits_a", "bits_b"))
+            kept = [(p, q) for p, q, m, s, t in zip(left, right, n, x, y, strict=True) if differ_at_least(s, t) * (100 + percent) <= m * (100 - percent)]
+            found = np.array(kept, dtype=np.int64).reshape(-1, 2)
+            # what is connected matters from here on, so a task sends one edge per id
+            a, b = forest(np.concatenate([a, found[:, 0]]), np.concatenate([b, found[:, 1]]))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     judged = pairs.select("a", "b", (F.col("size_a") + F.col("size_b")).alias("n"), "bits_a", "bits_b").mapInArrow(judge, "a long, b long")
     return judged.union(edges.filter("sure").select("a", "b"))
