@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flightlens.functions.scalars import decimal_year_of, parse_timestamps
 from flightlens.operators import clean, enrich, reshape, series
 from flightlens.plans import emissions as em
-from flightlens.plans import forecasts, reports
+from flightlens.plans import forecasts, prototype, reports
 from flightlens.session import stored, stored_lookup
 from flightlens.sources import readers, writers
 
@@ -46,9 +46,8 @@ def build_emissions(
         readers.read_aircraft(spark, sources.aircraft),
         readers.read_fleet(spark, sources.fleet, sources.fleet_preamble),
     )
-    lookup = em.fuel_lookup(
-        readers.read_fuel_grid(spark, sources.fuel_grid), readers.read_fuel_rates(spark, sources.fuel_rates)
-    )
+    grid = stored(readers.read_fuel_grid(spark, sources.fuel_grid), "grid")
+    lookup = em.fuel_lookup(grid, readers.read_fuel_rates(spark, sources.fuel_rates))
     rows = em.emissions(
         flights, readers.read_airports(spark, sources.airports), stored_lookup(aircraft, "aircraft"),
         stored_lookup(lookup, "fuel"), form,
@@ -79,19 +78,50 @@ def report_tables(history: DataFrame, latest: DataFrame, start: date, end: date)
     }
 
 
+def prototype_tables(
+    spark: SparkSession, sources: Sources, flights: str | list[str], callsigns: str, form: str
+) -> dict[str, DataFrame]:
+    """Tables of the earlier variant, from typed flight lists and a file of callsigns that were looked up before.
+
+    The located flights are stored, as filling in types and finding unresolved callsigns both read them.
+    """
+    airports = readers.read_airports(spark, sources.airports)
+    located = stored(prototype.located_flights(readers.read_flights_typed(spark, flights), airports), "located")
+    missing = stored(prototype.unresolved_flights(located), "unresolved")
+    new = prototype.not_looked_up(missing, readers.read_callsigns(spark, callsigns))
+    model = stored_lookup(em.fuel_model(readers.read_fuel_grid(spark, sources.fuel_grid)), "model")
+    fleet = readers.read_fleet(spark, sources.fleet, sources.fleet_preamble)
+    rows = prototype.prototype_emissions(prototype.impute_types(located), fleet, model, form)
+    return {
+        "unresolved": missing,
+        "links": prototype.lookup_links(new),
+        "emissions": rows,
+        "co2_day_role": prototype.co2_per_day_and_role(rows),
+    }
+
+
 def forecast_tables(
     history: DataFrame, latest: DataFrame, start: date, end: date, shown_from: date | None = None,
-    shown_to: date | None = None,
+    shown_to: date | None = None, co2_as_written: bool = False,
 ) -> dict[str, DataFrame]:
-    """Movements and CO2 (in tonnes): forecast from ``start``..``end`` against the latest table."""
+    """Movements and CO2 (in tonnes): forecast from ``start``..``end`` against the latest table.
+
+    ``co2_as_written`` trains the CO2 model as published: bounds joined by "or", which keeps every day of the history, and
+    the series cut at the decimal year after ``end``.
+    """
     period = clean.date_range(history, "flight_day", start, end)
     tables = {}
     for name, value, model, divisor in (
         ("ATM", None, forecasts.MOVEMENTS, 1.0), ("CO2", "CO2", forecasts.CO2, 1000.0)
     ):
+        if name == "CO2" and co2_as_written:
+            every = series.period(series.daily_series(history, "flight_day", value), start, end, combine="or")
+            daily = series.truncate(every, start.year, end.year + 1)
+        else:
+            daily = series.daily_series(period, "flight_day", value)
         train, actual = (
-            forecasts.cleaned_series(stored(series.daily_series(df, "flight_day", value), f"daily-{name}"))
-            for df in (period, latest)
+            forecasts.cleaned_series(stored(one, f"daily-{name}"))
+            for one in (daily, series.daily_series(latest, "flight_day", value))
         )
         first = train.agg(F.min("date")).first()[0] or start  # the period may begin inside a year, or lack its first days
         tables[name] = forecasts.forecast_vs_actual(

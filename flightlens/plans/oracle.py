@@ -2,10 +2,55 @@
 
 from __future__ import annotations
 
-from flightlens.functions.classify import MANUFACTURERS, ROLE_LABELS
-from flightlens.plans.forecasts import CO2, MOVEMENTS
-from flightlens.plans.registry import ACF_LAGS
-from flightlens.plans.standins import PART_ROLES
+from typing import NamedTuple
+
+# The twins import nothing from the engine: maps, lags and orders stand here a second time, so a change on one side shows.
+ACF_LAGS = 365
+
+# Part type -> fleet role.
+PART_ROLES = {
+    "ECONOMY": "Passenger",
+    "LARGE": "Freighter",
+    "MEDIUM": "Combi",
+    "PROMO": "Corporate/Government",
+    "SMALL": "Utility",
+    "STANDARD": "Space tug",
+}
+
+# Fleet role -> report role, for the roles that parts have.
+ROLE_LABELS = {
+    "Combi": "Combi",
+    "Corporate/Government": "Non Commercial",
+    "Freighter": "Cargo",
+    "Passenger": "Passenger",
+    "Utility": "Non Commercial",
+}
+
+# Aircraft type -> manufacturer.
+MANUFACTURERS = {
+    "B350": "Beech Aircraft Corporation",
+    "B77W": "Boeing",
+    "BE20": "Beech Aircraft Corporation",
+    "C550": "Cessna Aerospace",
+    "F2TH": "Dassault Aviation",
+    "RJ85": "Avro",
+}
+
+
+class Published(NamedTuple):
+    """A published model, written out: lags of both parts, differences, and the weights that undo them."""
+
+    long_order: int
+    ar_lags: list[int]
+    ma_lags: list[int]
+    difference_lags: list[int]
+    constant: bool
+    weights: dict[int, int]
+
+
+# Fixed values: (3,1,3)(1,0,0)[31] and (2,1,1)(0,1,0)[31].
+MOVEMENTS = Published(37, [1, 2, 3, 31, 32, 33, 34], [1, 2, 3], [1], True, {1: -1})
+CO2 = Published(5, [1, 2], [1], [1, 31], False, {1: -1, 31: -1, 32: 1})
 
 # name -> (body, names it builds on)
 PARTS: dict[str, tuple[str, list[str]]] = {}
@@ -113,9 +158,10 @@ part(
     "cells",
     """SELECT p_brand AS type, l_quantity * 220 AS distance,
     max(CASE WHEN p_brand <> 'Brand#15' THEN l_extendedprice END) AS fuelburn
-  FROM obs WHERE CAST(substring(p_brand, 7, 2) AS INT) <= 15 GROUP BY ALL""",
+  FROM obs GROUP BY ALL""",
     "obs",
 )
+part("split_types", "SELECT DISTINCT type FROM cells WHERE CAST(substring(type, 7, 2) AS INT) <= 15", "cells")
 part("points", "SELECT type, distance, fuelburn FROM cells WHERE fuelburn IS NOT NULL", "cells")
 
 
@@ -146,25 +192,36 @@ def cubic_fit(name: str, source: str, key: str, x: str, y: str) -> None:
     WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY ALL""",
         source,
     )
-    sums = ", ".join(f"sum(n * pow(x, {k})) AS s{k}" for k in range(7))
-    sums += ", " + ", ".join(f"sum(sy * pow(x, {k})) AS t{k}" for k in range(4))
+    # polynomials that are orthogonal on the cells, by their three-term recurrence
+    steps = [
+        ("p1", "cells", "sum(n * x) / sum(n) AS a0", "x - a0"),
+        ("p2", "p1", "sum(n * x * p1 * p1) / sum(n * p1 * p1) AS a1, sum(n * p1 * p1) / sum(n) AS b1", "(x - a1) * p1 - b1"),
+        (
+            "p3", "p2", "sum(n * x * p2 * p2) / sum(n * p2 * p2) AS a2, sum(n * p2 * p2) / sum(n * p1 * p1) AS b2",
+            "(x - a2) * p2 - b2 * p1",
+        ),
+    ]
+    for made, source_part, sums, formula in steps:
+        part(
+            f"{name}_{made}",
+            f"""SELECT *, {formula} AS {made} FROM {name}_{source_part}
+    JOIN (SELECT {key}, {sums} FROM {name}_{source_part} GROUP BY {key}) USING ({key})""",
+            f"{name}_{source_part}",
+        )
     part(
-        f"{name}_sums",
-        f"""SELECT {key}, count(*) AS nx, CAST(sum(n) AS BIGINT) AS n, max(abs(x)) AS mx, {sums}
-    FROM {name}_cells GROUP BY {key}""",
-        f"{name}_cells",
+        f"{name}_d",
+        f"""SELECT {key}, CAST(sum(n) AS BIGINT) AS n, count(*) AS nx, any_value(a0) AS a0, any_value(a1) AS a1,
+    any_value(a2) AS a2, any_value(b1) AS b1, any_value(b2) AS b2, sum(sy) / sum(n) AS d0,
+    sum(sy * p1) / sum(n * p1 * p1) AS d1, sum(sy * p2) / sum(n * p2 * p2) AS d2, sum(sy * p3) / sum(n * p3 * p3) AS d3
+    FROM {name}_p3 GROUP BY {key}""",
+        f"{name}_p3",
     )
-    rows = ", ".join(
-        "[" + ", ".join([f"s{i + j} / n / pow(mx, {i + j})" for j in range(4)] + [f"t{i} / n / pow(mx, {i})"]) + "]"
-        for i in range(4)
-    )
-    part(f"{name}_matrix", f"SELECT {key}, [{rows}] AS m FROM {name}_sums WHERE nx > 3", f"{name}_sums")
-    gauss_jordan(f"{name}_solved", f"{name}_matrix", key, 4)
-    coefs = ", ".join(f"c[{k + 1}] / pow(mx, {k}) AS c{k}" for k in range(4))
     part(
         name,
-        f"SELECT {key}, {coefs}, n FROM {name}_sums LEFT JOIN {name}_solved USING ({key})",
-        f"{name}_solved", f"{name}_sums",
+        f"""SELECT {key}, CASE WHEN nx > 3 THEN d0 - d1 * a0 + d2 * (a0 * a1 - b1) + d3 * (b2 * a0 - a2 * (a0 * a1 - b1)) END AS c0,
+    CASE WHEN nx > 3 THEN d1 - d2 * (a0 + a1) + d3 * (a0 * a1 - b1 + a2 * (a0 + a1) - b2) END AS c1,
+    CASE WHEN nx > 3 THEN d2 - d3 * (a0 + a1 + a2) END AS c2, CASE WHEN nx > 3 THEN d3 END AS c3, n FROM {name}_d""",
+        f"{name}_d",
     )
 
 
@@ -172,8 +229,8 @@ cubic_fit("model", "points", "type", "distance", "fuelburn")
 part(
     "rates",
     """SELECT type, max(rate) AS rate FROM (SELECT p_brand AS type, p_retailprice / 100 AS rate FROM part)
-  WHERE type NOT IN (SELECT type FROM cells) GROUP BY type""",
-    "cells",
+  WHERE type NOT IN (SELECT type FROM split_types) GROUP BY type""",
+    "split_types",
 )
 
 # --- flights to emissions ------------------------------------------------------------------------
@@ -213,6 +270,14 @@ oracle(
   {rounded('c3', 6)} AS c3, n FROM price_fit""",
     "price_fit",
 )
+part("far", "SELECT p_type, l_quantity + 1000 AS l_quantity, l_extendedprice FROM obs", "obs")
+cubic_fit("far_fit", "far", "p_type", "l_quantity", "l_extendedprice")
+oracle(
+    "fuel_fit_far",
+    f"""SELECT p_type, {rounded('c0', -2)} AS c0, {rounded('c1', 1)} AS c1, {rounded('c2', 4)} AS c2,
+  {rounded('c3', 7)} AS c3, n FROM far_fit""",
+    "far_fit",
+)
 oracle(
     "fuel_grid_fit",
     f"""SELECT type, {rounded('c0', 4)} AS c0, {rounded('c1', 6)} AS c1, {rounded('c2', 9)} AS c2,
@@ -234,7 +299,8 @@ def flight_emissions(source: str) -> str:
 
 
 def modelled(formula: str) -> str:
-    return f"SELECT typed.*, {formula} AS fuel FROM typed JOIN model ON aircraft_type = type"
+    return f"""SELECT typed.*, {formula} AS fuel FROM typed JOIN model ON aircraft_type = type
+    WHERE type IN (SELECT type FROM split_types)"""
 
 
 part("em_written", flight_emissions(f"{modelled(AS_WRITTEN)} UNION ALL {RATED}"), "typed", "model", "rates")
@@ -563,6 +629,13 @@ daily("moves", "count(*)")
 daily("train", "sum(co2)", ("1998-01-01", "1999-12-31"))
 daily("actual", "sum(co2)", ("2000-01-01", "2000-12-31"))
 oracle("series_index", "SELECT * FROM co2_series", "co2_series")
+oracle(
+    "co2_series_as_written",
+    """SELECT 'all' AS series_key, t, date, value FROM (
+  SELECT flight_day AS date, CAST(row_number() OVER (ORDER BY flight_day) AS INT) AS t, CAST(sum(co2) AS DOUBLE) AS value
+  FROM days_only GROUP BY flight_day) WHERE t <= 731""",
+    "days_only",
+)
 oracle("series_truncate", "SELECT * FROM co2_series WHERE t <= 731", "co2_series")
 
 
@@ -900,8 +973,8 @@ def two_stage(name: str, source: str, model, horizon: int) -> None:
     )
     step = "constant" + "".join(f" + b[{i + 1}] * x[-{lag}]" for i, lag in enumerate(ar))
     step += "".join(f" + b[{len(ar) + i + 1}] * e[-{lag}]" for i, lag in enumerate(ma))
-    level = "nx" + "".join(f" - ({weight}) * y[-{lag}]" for lag, weight in model.difference_weights().items())
-    keep = max([*ar, *ma, *model.difference_weights()]) + 1
+    level = "nx" + "".join(f" - ({weight}) * y[-{lag}]" for lag, weight in model.weights.items())
+    keep = max([*ar, *ma, *model.weights]) + 1
     part(
         f"{name}_path",
         f"""SELECT series_key, 0 AS h, constant, b, y[-{keep}:] AS y, x[-{keep}:] AS x, e[-{keep}:] AS e FROM {name}_fit

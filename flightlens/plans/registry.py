@@ -47,7 +47,7 @@ def _inputs(spark: SparkSession, d: str):
 
 
 def _lookup(spark: SparkSession, d: str) -> DataFrame:
-    return stored_lookup(em.fuel_lookup(st.fuel_grid(spark, d), st.fuel_rates(spark, d)), "fuel")
+    return stored_lookup(em.fuel_lookup(stored(st.split_grid(spark, d), "grid"), st.fuel_rates(spark, d)), "fuel")
 
 
 def _emissions(spark: SparkSession, d: str, form: str, lookup: DataFrame | None = None) -> DataFrame:
@@ -110,6 +110,16 @@ def fuel_fit(spark, d):
     return _rounded(fitted, c0=4, c1=4, c2=5, c3=6)
 
 
+@query
+def fuel_fit_far(spark, d):
+    """The same fit with quantities far from zero, where plain powers lose the answer.
+
+    Coefficients of powers of x itself are large here and cancel; they are compared to seven to nine digits.
+    """
+    far = st.observations(spark, d).withColumn("l_quantity", F.col("l_quantity") + 1000)
+    return _rounded(polyfit.fit_polynomial(far, "p_type", "l_quantity", "l_extendedprice"), c0=-2, c1=1, c2=4, c3=7)
+
+
 @query
 def fuel_grid_fit(spark, d):
     """Cubic per type of the wide fuel grid."""
@@ -131,7 +141,7 @@ def emissions_cubic(spark, d):
 @query
 def emissions_rate(spark, d):
     """CO2 of the flights whose type has a rate per mile."""
-    rates = em.rate_table(st.fuel_rates(spark, d), st.fuel_grid(spark, d))
+    rates = em.rate_table(st.fuel_rates(spark, d), st.split_grid(spark, d))
     blank = {c: F.lit(None).cast("double") for c in ("c0", "c1", "c2", "c3")}
     lookup = rates.withColumnsRenamed({"type": "aircraft_type", "fuelburn": "rate"}).withColumns(blank)
     return _emission_rows(_emissions(spark, d, "cubic", stored_lookup(lookup, "rates")))
@@ -213,7 +223,7 @@ def select_prefix(spark, d):
 @query
 def rate_table(spark, d):
     """Highest rate of each type outside the fuel grid."""
-    return em.rate_table(st.fuel_rates(spark, d), st.fuel_grid(spark, d))
+    return em.rate_table(st.fuel_rates(spark, d), st.split_grid(spark, d))
 
 
 @query
@@ -234,7 +244,7 @@ def rate_anti_join(spark, d):
 @query
 def regex_prefix(spark, d):
     """Rates of the types that begin with one of two prefixes."""
-    rates = em.rate_table(st.fuel_rates(spark, d), st.fuel_grid(spark, d))
+    rates = em.rate_table(st.fuel_rates(spark, d), st.split_grid(spark, d))
     return reports.selected_rates(rates, ["Brand#1", "Brand#20"])
 
 
@@ -477,6 +487,13 @@ def series_truncate(spark, d):
     return series.truncate(_role_series(spark, d), 1995, 1997)
 
 
+@query
+def co2_series_as_written(spark, d):
+    """Daily CO2 whose bounds are joined by "or" and which is cut at the decimal year after them: 731 days."""
+    daily = series.daily_series(st.daily_emissions(spark, d), "flight_day", "CO2")
+    return series.truncate(series.period(daily, *TRAIN, combine="or"), TRAIN[0].year, TRAIN[1].year + 1)
+
+
 @query
 def series_diff2(spark, d):
     return series.difference(_role_series(spark, d), [1, 1])

@@ -4,7 +4,8 @@
 flights          line items; from the supplier's nation to the customer's nation
 airports         nations, with derived coordinates and the region as continent
 aircraft, fleet  parts: brand is the type, part type the role
-fuel grid        dearest line per brand and quantity, for brands up to 15
+fuel grid        dearest line per brand and quantity
+split grid       the same for brands up to 15, where both fuel methods are wanted
 fuel rates       part prices per brand
 emissions        line items with brand and part type; the price in cents stands for CO2
 =============== ==========================================================================
@@ -12,6 +13,7 @@ emissions        line items with brand and part type; the price in cents stands
 Every table is read whole. Unknown values, which the order tables lack, are put in by value: one
 supplier nation has no airport code, one has a code no airport carries, American airports have no
 continent, parts of the largest size have no registration and brand 15 has an empty grid row.
+Known callsigns are those of one customer segment, as an earlier lookup holds only some.
 Prices are whole cents, so sums over them do not depend on row order.
 """
 
@@ -19,9 +21,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-GRID_QUANTITIES = range(1, 51)
+MAX_GRID_COLUMNS = 1000
 NMI_PER_QUANTITY = 220
-LAST_GRID_BRAND = 15
+EMPTY_GRID_BRAND = "Brand#15"
+LAST_SPLIT_BRAND = 15
 
 # Part type -> fleet role; the last one is no known role.
 PART_ROLES = {
@@ -155,12 +158,22 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fuel_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Wide table: ``Type`` and one column per distance, the column name being the distance."""
-    lines = observations(spark, folder).filter(F.substring("p_brand", 7, 2).cast("int") <= LAST_GRID_BRAND)
-    burn = F.when(F.col("p_brand") != f"Brand#{LAST_GRID_BRAND}", F.col("l_extendedprice"))
-    cells = lines.groupBy(F.col("p_brand").alias("Type")).pivot("l_quantity", [float(q) for q in GRID_QUANTITIES])
-    wide = cells.agg(F.max(burn))
-    return wide.toDF("Type", *[str(q * NMI_PER_QUANTITY) for q in GRID_QUANTITIES])
+    """Wide table: ``Type`` and one column per distance, the column name being the distance.
+
+    The columns follow from the quantities that occur, so no line is lost; too many for a wide table are an error.
+    """
+    lines = table(spark, folder, "lineitem").select("l_quantity").dropna().distinct().limit(MAX_GRID_COLUMNS + 1)
+    quantities = sorted(r.l_quantity for r in lines.collect())
+    if len(quantities) > MAX_GRID_COLUMNS:
+        raise ValueError(f"more than {MAX_GRID_COLUMNS} quantities do not make a wide table")
+    burn = F.when(F.col("p_brand") != EMPTY_GRID_BRAND, F.col("l_extendedprice"))
+    cells = observations(spark, folder).groupBy(F.col("p_brand").alias("Type")).pivot("l_quantity", quantities)
+    return cells.agg(F.max(burn)).toDF("Type", *[f"{q * NMI_PER_QUANTITY:.0f}" for q in quantities])
+
+
+def split_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The grid's rows for brands up to 15; brands beyond have rates only, so both fuel methods are met."""
+    return fuel_grid(spark, folder).filter(F.substring("Type", 7, 2).cast("int") <= LAST_SPLIT_BRAND)
 
 
 def fuel_rates(spark: SparkSession, folder: str) -> DataFrame:

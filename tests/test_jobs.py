@@ -86,6 +86,41 @@ def test_forecasts(built):
         assert all(r[name] > 0 for r in found)
 
 
+def test_co2_as_written_counts_days_of_all_years(built):
+    history, latest = built
+    bounds = (date(2019, 1, 1), date(2019, 12, 31))
+    tables = jobs.forecast_tables(history, latest, *bounds, co2_as_written=True)
+    assert tables["ATM"].agg({"date": "min"}).first()[0] == date(2019, 1, 1)
+    # bounds joined by "or" keep 2018 too; the cut leaves one year and a day, which begins in 2018
+    found = tables["CO2"].filter("data_source = 'forecast'")
+    assert found.agg({"date": "min"}).first()[0] == date(2018, 1, 1) and found.count() == 366 + 365
+
+
+def test_earlier_variant(spark, sources, tmp_path):
+    def row(callsign, plane, tail, kind, dep, arr, day):
+        return f"{callsign},{plane},{tail},{kind},{dep},{arr},{day} 08:00:00+00:00,{day} 10:00:00+00:00,{day} 00:00:00+00:00"
+
+    (tmp_path / "typed.csv").write_text(
+        "\n".join(
+            [
+                "callsign,icao24,registration,typecode,origin,destination,firstseen,lastseen,day",
+                row("C1", "a1", "R1", "A320", "AAAA", "BBBB", "2019-01-01"),
+                row("C1", "a1", "", "", "BBBB", "CCCC", "2019-01-02"),
+                row("C2", "a2", "", "", "AAAA", "CCCC", "2019-01-02"),
+                row("C3", "a9", "", "", "BBBB", "AAAA", "2019-01-03"),
+                row("C4", "a9", "", "", "CCCC", "DDDD", "2019-01-03"),
+            ]
+        )
+        + "\n"
+    )
+    (tmp_path / "callsigns.csv").write_text("callsign,Unknown\nC3,x\n")
+    tables = jobs.prototype_tables(spark, sources, str(tmp_path / "typed.csv"), str(tmp_path / "callsigns.csv"), "as_written")
+    assert {r.callsign for r in tables["unresolved"].collect()} == {"C2", "C3"}
+    assert [r.callsign for r in tables["links"].collect()] == ["C2"]
+    assert sorted((str(r.day), r.registration) for r in tables["emissions"].collect()) == [("2019-01-01", "R1"), ("2019-01-02", "R1")]
+    assert {(str(r.day), r.aircraft_role) for r in tables["co2_day_role"].collect()} == {("2019-01-01", "Passenger"), ("2019-01-02", "Passenger")}
+
+
 def test_years_in_one_folder_are_kept_apart(spark, sources):
     both = jobs.load_flights(spark, sources, date(2020, 1, 1), date(2020, 12, 31))
     assert both.filter("estdepartureairport is not null").count() == 0
