@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flightlens.functions.scalars import decimal_year_of, parse_timestamps
-from flightlens.operators import clean, enrich, reshape, series
+from flightlens.operators import aggregate, clean, enrich, reshape, series
 from flightlens.plans import emissions as em
 from flightlens.plans import forecasts, prototype, reports
 from flightlens.session import stored, stored_lookup
@@ -66,15 +66,18 @@ def export_fuel_tables(spark: SparkSession, sources: Sources, out: str, mode: st
 
 
 def report_tables(history: DataFrame, latest: DataFrame, start: date, end: date) -> dict[str, DataFrame]:
-    """Tables behind the emission reports; ``start`` and ``end`` bound the yearly ones."""
-    by_role = stored(reports.daily_co2_by_role_clean(history, latest), "by-role")
-    both = reshape.bind_rows(history, latest)
+    """Tables behind the emission reports; ``start`` and ``end`` bound the yearly ones.
+
+    Both emissions tables are read once, into sums per day, type and role; all reports follow from these.
+    """
+    old, new = (stored(reports.report_cells(table), "report-cells") for table in (history, latest))
+    by_role = stored(reports.daily_co2_by_role_clean(reports.known_co2(old), reports.known_co2(new)), "by-role")
     return {
         "daily_co2_by_role": by_role,
         "role_trend": reports.role_trend(by_role),
-        "co2_by_type": reports.co2_by_type(both, start, end),
-        "daily_flights_and_co2": reports.daily_flights_and_co2(history),
-        "total_co2": reports.total_co2(history, start, end),
+        "co2_by_type": reports.co2_by_type(reshape.bind_rows(old, new), start, end),
+        "daily_flights_and_co2": reports.daily_flights_and_co2_of(old),
+        "total_co2": reports.total_co2(old, start, end),
     }
 
 
@@ -107,22 +110,21 @@ def forecast_tables(
     """Movements and CO2 (in tonnes): forecast from ``start``..``end`` against the latest table.
 
     ``co2_as_written`` trains the CO2 model as published: bounds joined by "or", which keeps every day of the history, and
-    the series cut at the decimal year after ``end``.
+    the series cut at the decimal year after ``end``. Both tables are read once, into counts and sums per day.
     """
-    period = clean.date_range(history, "flight_day", start, end)
+    past = history if co2_as_written else clean.date_range(history, "flight_day", start, end)
+    totals = [
+        stored(aggregate.count_and_sum_by(table, ["flight_day"], "CO2", "ATM", "CO2"), "day-totals")
+        for table in (past, latest)
+    ]
     tables = {}
-    for name, value, model, divisor in (
-        ("ATM", None, forecasts.MOVEMENTS, 1.0), ("CO2", "CO2", forecasts.CO2, 1000.0)
-    ):
+    for name, model, divisor in (("ATM", forecasts.MOVEMENTS, 1.0), ("CO2", forecasts.CO2, 1000.0)):
+        days, recent = (series.daily_series(table, "flight_day", name) for table in totals)
         if name == "CO2" and co2_as_written:
-            every = series.period(series.daily_series(history, "flight_day", value), start, end, combine="or")
-            daily = series.truncate(every, start.year, end.year + 1)
+            daily = series.truncate(series.period(days, start, end, combine="or"), start.year, end.year + 1)
         else:
-            daily = series.daily_series(period, "flight_day", value)
-        train, actual = (
-            forecasts.cleaned_series(stored(one, f"daily-{name}"))
-            for one in (daily, series.daily_series(latest, "flight_day", value))
-        )
+            daily = series.period(days, start, end)
+        train, actual = (forecasts.cleaned_series(stored(one, f"daily-{name}")) for one in (daily, recent))
         first = train.agg(F.min("date")).first()[0] or start  # the period may begin inside a year, or lack its first days
         tables[name] = forecasts.forecast_vs_actual(
             train, actual, model, decimal_year_of(first), value=name, divisor=divisor, shown_from=shown_from,

@@ -8,7 +8,7 @@ from flightlens.functions.fuel import co2, polynomial_fuel
 from flightlens.functions.geo import distance_nm
 from flightlens.functions.nulls import fill_from, paste
 from flightlens.operators import clean, enrich
-from flightlens.session import checked_broadcast, stored
+from flightlens.session import BROADCAST_ROWS, checked_broadcast, stored
 
 AIRPORT_ATTRIBUTES = ["name", "latitude_deg", "longitude_deg", "elevation_ft", "continent"]
 
@@ -32,16 +32,16 @@ def callsign_types(flights: DataFrame) -> DataFrame:
     return first.select("callsign", "registration", "typecode")
 
 
-def impute_types(flights: DataFrame) -> DataFrame:
+def impute_types(flights: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Fill unknown type and registration from the callsign's first complete flight.
 
-    The known callsigns are a stored table: broadcast if small, else joined by a shuffle of both sides, which adaptive
+    The known callsigns are a stored table: broadcast up to ``rows`` rows, else joined by a shuffle of both sides, which adaptive
     execution splits at a hot callsign, the unknown one included.
     """
     known = stored(callsign_types(flights), "callsigns")
     known = known.withColumnsRenamed({"registration": "_registration", "typecode": "_typecode"})
     return (
-        flights.join(checked_broadcast(known), "callsign", "left")
+        flights.join(checked_broadcast(known, rows), "callsign", "left")
         .withColumn("typecode", fill_from(F.col("typecode"), F.col("_typecode")))
         .withColumn("registration", fill_from(F.col("registration"), F.col("_registration")))
         .select(*flights.columns)

@@ -7,11 +7,26 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from flightlens.functions.classify import manufacturer
+from flightlens.functions.nulls import strict_sum
 from flightlens.functions.scalars import matches_any_prefix, round_half_even
 from flightlens.operators import aggregate, clean, enrich, reshape
 from flightlens.operators.smooth import local_trend
 
 
+def report_cells(emissions: DataFrame) -> DataFrame:
+    """One row per day, type and role, from which every report follows: ``CO2`` (null if one is unknown), and of the
+    flights with known CO2 their number ``known`` and sum ``known_CO2``."""
+    known = F.when(~F.isnan("CO2"), F.col("CO2"))
+    return emissions.groupBy("flight_day", "aircraft_type", "aircraft_role").agg(
+        strict_sum(F.col("CO2")).alias("CO2"), F.count(known).alias("known"), F.sum(known).alias("known_CO2")
+    )
+
+
+def known_co2(cells: DataFrame) -> DataFrame:
+    """Cells with known CO2, as an emissions table of one row per cell."""
+    return cells.filter("known > 0").select("flight_day", "aircraft_type", "aircraft_role", "known", F.col("known_CO2").alias("CO2"))
+
+
 def daily_co2(emissions: DataFrame) -> DataFrame:
     return aggregate.sum_by(emissions, ["flight_day"], "CO2", "daily_CO2")
 
@@ -46,6 +61,12 @@ def daily_flights_and_co2(emissions: DataFrame) -> DataFrame:
     return aggregate.count_and_sum_by(known, ["flight_day"], "CO2", "flights", "CO2_daily")
 
 
+def daily_flights_and_co2_of(cells: DataFrame) -> DataFrame:
+    """``daily_flights_and_co2`` from report cells."""
+    days = known_co2(cells).filter("flight_day is not null").groupBy("flight_day")
+    return days.agg(F.sum("known").alias("flights"), F.sum("CO2").cast("double").alias("CO2_daily"))
+
+
 def total_co2(emissions: DataFrame, start: date, end: date) -> DataFrame:
     return aggregate.total(clean.date_range(emissions, "flight_day", start, end), "CO2", "CO2")
 
