@@ -316,6 +316,26 @@ def test_passages(docs):
     assert paragraphs.repeated_passages(docs(*AWKWARD).limit(0)).count() == 0
 
 
+def test_passages_at_word_borders_and_of_short_sentences(docs):
+    rng = random.Random(9)
+    words = lambda n: ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 7))) for _ in range(n)]
+    line = words(51)  # no sentence ends at all
+    mixed = [w + "." * (k % 20 == 19) for k, w in enumerate(words(51))]  # two ends, so 20 words between them
+    short = [w + "." * (k % 4 == 3) for k, w in enumerate(words(51))]
+    rows, want = [], {}
+    for k, passage in enumerate((line, mixed, short)):
+        rows.append((10 + k, " ".join(words(40) + passage + words(40))))
+        rows.append((20 + k, " ".join(words(33 + k) + passage + words(60))))
+        want[20 + k] = " ".join(passage)
+    rows += [(30 + k, " ".join(words(120))) for k in range(5)]
+    got = {r.doc_id: r for r in paragraphs.repeated_passages(docs(*rows)).collect()}
+    text = dict(rows)
+    for key, r in got.items():
+        assert [text[key][slice(*map(int, s.split(":")))] for s in r.spans.split(",") if s] == ([want[key]] if key in want else [])
+        assert r.removed_chars == len(want.get(key, "")) and bool(r.n_repeated) == (key < 30)
+        assert r.first_docs == ([key - 10] if key in want else [])
+
+
 def test_minhash_recall():
     rng = np.random.default_rng(3)
     found = 0
