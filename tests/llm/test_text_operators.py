@@ -336,6 +336,21 @@ def test_passages_at_word_borders_and_of_short_sentences(docs):
         assert r.first_docs == ([key - 10] if key in want else [])
 
 
+def test_passages_leave_what_lies_between_copies(docs):
+    rng = random.Random(10)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghijk") for _ in range(rng.randint(3, 7))) for _ in range(n))
+    header, footer, between = line(30), line(30), [line(4) for _ in range(6)]
+    halves = line(13), line(13)  # too few words each for a passage
+    rows = [(k, "\n".join([header, *(line(3) for _ in range(20)), footer])) for k in (1, 2)]
+    rows += [(k, "\n".join([halves[0], line(3), halves[1]])) for k in (3, 4)]
+    rows += [(k, "\n".join([header + " x", *between, line(3), *between, footer + " x"])) for k in (5, 6)]
+    got = {r.doc_id: r for r in paragraphs.repeated_passages(docs(*rows)).collect()}
+    left = {k: paragraphs.cut_spans(text, got[k].spans) for k, text in rows}
+    assert left[2].split() == rows[1][1].replace(header, "").replace(footer, "").split()
+    assert not got[3].n_repeated and not got[4].n_repeated and got[4].spans == ""
+    assert left[6].split() == rows[5][1].split("\n")[7].split()  # copies of short lines go with the passage, own ones stay
+
+
 def test_minhash_recall():
     rng = np.random.default_rng(3)
     found = 0
