@@ -15,7 +15,8 @@ from flightlens.session import stored
 COMMON = 200  # words in a language's histogram; all others share one more bin
 MIN_SHARE = 0.001  # of all words a language needs for a reference of its own, so there are at most 1000 references
 MIN_CHARS, MIN_WORDS = 400, 100  # shorter texts are too small a sample for a verdict by that histogram
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.55
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.27, 0.55  # for words a cap; the limits of word_limits lie below it
+MIN_CLASS = 20  # texts of about one length that a language needs for a limit of that length
 
 _COUNTS = "lang string, kind string, item string, n long"
 
@@ -90,7 +91,7 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> float:
 
 
 def measure(text: str, lang: str | None, table: np.ndarray, references: dict) -> tuple:
-    """Base counts and distances of one text."""
+    """Base counts and distances of one text, and the language whose reference it was held against."""
     words = ts.WORD.findall(text)
     numbers, codes = ts.word_codes(words)
     counts = np.bincount(codes, minlength=len(numbers)) if words else np.zeros(0, dtype=np.int64)
@@ -98,17 +99,18 @@ def measure(text: str, lang: str | None, table: np.ndarray, references: dict) ->
     plain: Counter = Counter()
     for word, n in zip(numbers, counts.tolist(), strict=True):
         plain[_strip(word)] += n
-    best = (0.0, 0.0)
+    best, nearest = (0.0, 0.0), None
     for key in [lang] if lang in references else list(references):
         ref_chars, bins, ref_words = references[key]
         own = np.zeros(len(ref_words))
         for word, n in plain.items():
             own[bins.get(word, -1)] += n
         pair = (js_distance(classes.astype(float), ref_chars), js_distance(own, ref_words))
-        best = pair if best == (0.0, 0.0) or sum(pair) < sum(best) else best
+        if nearest is None or sum(pair) < sum(best):
+            best, nearest = pair, key
     return (
         len(words), sum(map(len, words)), ts.symbols(text), ts.duplicate_lines(text),
-        ts.repeat_words(codes, len(numbers)), *best,
+        ts.repeat_words(codes, len(numbers)), *best, nearest,
     )
 
 
@@ -116,6 +118,33 @@ _RESULT = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "base_failed boolean, kept boolean, char_distance double, word_distance double"
 )
+_MEASURED = _RESULT.replace("kept boolean, ", "") + ", _lang string, _nearest string"
+
+
+def word_limits(measured: DataFrame, references: dict, max_word: float, min_words: int) -> list[tuple[str, int, float]]:
+    """(language, binary logarithm of the words, limit) for every reference and length.
+
+    A text without any common word of a language has a distance that the reference alone tells. The limit lies midway
+    between it and the median of the language's texts of about the same length, as short samples lie further away. Lengths
+    with under MIN_CLASS texts take the limit of the next shorter one, which is wider; the shortest take that distance.
+    """
+    own = measured.filter((F.col("n_words") >= max(1, min_words)) & (F.col("_lang") == F.col("_nearest")))
+    middle = F.percentile_approx("word_distance", 0.5, 10_000)
+    classes = own.groupBy("_lang", _length().alias("_length")).agg(middle.alias("middle"), F.count(F.lit(1)).alias("n"))
+    middles = {(r["_lang"], r["_length"]): r["middle"] for r in classes.filter(F.col("n") >= MIN_CLASS).collect()}
+    limits = []
+    for lang, (_, _, words) in references.items():
+        limit = strange = js_distance(np.eye(len(words))[-1], words)
+        for length in range(64):
+            if (lang, length) in middles:
+                limit = min(strange, (strange + middles[lang, length]) / 2)
+            limits.append((lang, length, min(limit, max_word)))
+    return limits
+
+
+def _length():
+    """Binary logarithm of the number of words, rounded down."""
+    return F.length(F.bin("n_words")) - 1
 
 
 def quality_rules(
@@ -128,7 +157,8 @@ def quality_rules(
     """One row per document: base counts, distances to the language's references, and whether it is kept.
 
     A text is rejected if a base rule fails, or if it is long enough for a histogram and that histogram lies further from
-    the reference of its language than the limit. A text of no or an unknown language is held against the nearest
+    the reference of its language than the limit; for words the limit is that of :func:`word_limits`, at most ``max_word``.
+    A text of no or an unknown language is held against the nearest
     reference. References come from all documents. Null and empty texts have no words, so the base rule fails. With no
     reference at all (an empty table, or no words) distances are 0. One row per input row; other columns are ignored.
     """
@@ -141,14 +171,21 @@ def quality_rules(
             measure(text or "", lang, table.value, references.value)
             for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
         ]
-        n, chars, symbols, lines, repeats, far_c, far_w = (np.array(c) for c in zip(*rows, strict=True))
+        *numbers, nearest = zip(*rows, strict=True)
+        n, chars, symbols, lines, repeats, far_c, far_w = map(np.array, numbers)
         failed = (n < 50) | (100 * repeats > 50 * n)
-        far = ((chars >= min_chars) & (far_c > max_char)) | ((n >= min_words) & (far_w > max_word))
-        columns = [n, chars, symbols, lines, repeats, failed, ~failed & ~far, far_c, far_w]
-        names = [part.split()[0] for part in _RESULT.split(", ")]
-        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names)
-
-    return docs.select("doc_id", "text", "lang").mapInArrow(in_batches(work), _RESULT)
+        columns = [n, chars, symbols, lines, repeats, failed, far_c, far_w]
+        names = [part.split()[0] for part in _MEASURED.split(", ")]
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns), batch.column(2), pa.array(nearest, pa.string())], names)
+
+    measured = stored(docs.select("doc_id", "text", "lang").mapInArrow(in_batches(work), _MEASURED), "quality-measures")
+    limits = word_limits(measured, references.value, max_word, min_words)
+    table = docs.sparkSession.createDataFrame(limits, "_of string, _class int, _limit double")
+    judged = measured.join(F.broadcast(table), (F.col("_nearest") == F.col("_of")) & (_length() == F.col("_class")), "left")
+    far_char = (F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char)
+    far_word = (F.col("n_words") >= min_words) & (F.col("word_distance") > F.coalesce("_limit", F.lit(max_word)))
+    names = [part.split()[0] for part in _RESULT.split(", ")]
+    return judged.withColumn("kept", ~F.col("base_failed") & ~far_char & ~far_word).select(*names)
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,23 @@ def test_quality_rules(docs, real):
     assert quality_rules.quality_rules(docs(*AWKWARD).limit(0)).count() == 0
 
 
+def test_quality_rules_reject_other_languages(spark):
+    folder = "/root/testdata/sf0.01"
+    many = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    before = quality_rules.quality_rules(many)
+    good = before.filter("not base_failed").join(labels.filter("quality = 1"), "doc_id").select("doc_id", "kept").collect()
+    assert len(good) > 100 and sum(r.kept for r in good) >= 0.98 * len(good)
+    rng = random.Random(12)
+    clean = many.join(before.filter("kept and n_words >= 100"), "doc_id").select("doc_id", "text", "lang").orderBy("doc_id").collect()
+    wrong = [(-1 - r.doc_id, r.text, "en") for r in [r for r in clean if r.lang == "de"][:20]]
+    wrong += [(-1 - r.doc_id, r.text, "de") for r in [r for r in clean if r.lang == "en"][:10]]
+    salad = [(-100_000 - k, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(300)), "en") for k in range(5)]
+    rows = spark.createDataFrame([*wrong, *salad], many.schema)
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(many.union(rows)).filter("doc_id < 0").collect()}
+    assert len(got) == 35 and sum(got.values()) <= 1
+
+
 def test_js_distance():
     assert quality_rules.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
     assert quality_rules.js_distance(np.array([2.0, 2]), np.array([1.0, 1])) == pytest.approx(0)
