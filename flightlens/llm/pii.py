@@ -20,7 +20,6 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[@0-9]")
 
 # Documents that the tagger's labelled spans are taken from, at most; chosen by the hash of doc_id.
 TRAIN_DOCS = 600
@@ -62,7 +61,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def find_spans(texts: list[str], model: dict, min_score: float = MIN_SCORE) -> list[tuple[list, list]]:
     """(base spans, all spans) of every text: the tagger's spans join where they overlap no base span."""
     out: list[tuple[list, list]] = [([], []) for _ in texts]
-    some = [i for i, t in enumerate(texts) if _TRIGGER.search(t)]  # no kind can be written without a digit or an at sign
+    some = [i for i, t in enumerate(texts) if tagger.READ.search(t)]  # no kind is written without a digit or an at sign, if spelled out
     for i, tagged in zip(some, tagger.tag([texts[i] for i in some], model), strict=True):
         base = base_spans(texts[i])
         spans = list(base)
@@ -76,7 +75,7 @@ def find_spans(texts: list[str], model: dict, min_score: float = MIN_SCORE) -> l
 def _plausible(piece: str, kind: int) -> bool:
     """What a span of a kind must hold at least, whatever its writing."""
     digits = sum(c in "0123456789" for c in piece)
-    return ("@" in piece or " at " in piece.lower()) and len(piece) >= 5 if kind == 0 else digits >= (4, 12, 7)[kind - 1]
+    return any(at in piece.lower() for at in ("@", " at ", "(at)")) and len(piece) >= 5 if kind == 0 else digits >= (4, 12, 7)[kind - 1]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -114,8 +113,8 @@ _RESULT = (
 def find_personal_data(docs: DataFrame, most: int = TRAIN_DOCS, min_score: float = MIN_SCORE) -> DataFrame:
     """One row per document: base counts by kind, a digest of the base spans, and all spans.
 
-    The tagger reads every window of a text that holds a digit or an at sign; no kind can be written without one, so
-    other windows cannot hold a span. Its overlapping windows are decoded and reconciled over the whole text. Null texts
+    The tagger reads every window of a text that holds a digit, an at sign, "(at)" or "at" before a domain; it is trained
+    on no writing without one of them. Its overlapping windows are decoded and reconciled over the whole text. Null texts
     count as empty; they have no spans. One row per input row; other columns are ignored; repeated rows give repeated rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train_tagger(docs, most))

@@ -10,6 +10,8 @@ WINDOW, STRIDE = 96, 48
 HIDDEN = 12
 LABELS = 5  # 0 outside, 1 + kind inside
 _TRIGGER = re.compile(r"[@0-9]")
+# What is read also has at signs spelled out as in _variants: "(at)", or "at" before a domain.
+READ = re.compile(r"[@0-9]|\(at\)|(?<=\s)at(?=\s+[a-z0-9-]+\.[a-z0-9-])", re.IGNORECASE | re.ASCII)
 
 
 def encode(text: str) -> np.ndarray:
@@ -207,14 +209,14 @@ def train(examples: list, steps: int = 240, size: int = 32, rate: float = 0.02,
 def tag(texts: list[str], model: dict, most: int = 2000) -> list[list[tuple[int, int, int, float]]]:
     """(start, end, kind, score) over whole texts, one list per text.
 
-    Windows overlap by half. Only those with a digit or an at sign are read, ``most`` at a time, those of all texts
+    Windows overlap by half. Only those with a digit or an at sign, spelled out or not, are read, ``most`` at a time, those of all texts
     together. Each is decoded; a character gets its label from the window in which it lies most centrally, so every
     character is labelled once, and runs of a label become spans across window borders. The score is the mean probability
     of the span's labels.
     """
     places = []
     for index, text in enumerate(texts):
-        starts = {max(0, k * STRIDE) for m in _TRIGGER.finditer(text) for k in (m.start() // STRIDE - 1, m.start() // STRIDE)}
+        starts = {max(0, k * STRIDE) for m in READ.finditer(text) for k in (m.start() // STRIDE - 1, m.start() // STRIDE)}
         places += [(index, s) for s in sorted(starts)]
     labels: list[dict[int, tuple[int, int, float]]] = [{} for _ in texts]  # position -> (from centre, label, probability)
     for first in range(0, len(places), most):

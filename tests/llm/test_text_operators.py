@@ -123,6 +123,18 @@ def test_tagger_learns_and_adds():
     assert set(base) < set(every) and [k for s, e, k in every if (s, e, k) not in base] == [3]
 
 
+def test_spelled_out_at_signs_are_read():
+    model = tagger.train([])
+    model["bias"][:2] = 0, 20.0  # calls all it reads an e-mail
+    rng = np.random.default_rng(4)
+    plain, span = "Write to jane.doe@mail.example.com about it", (9, 34, 0)
+    seen = {tagger._variants(plain, [span], rng)[0] for _ in range(60)}
+    assert len(seen) == 4
+    for text in seen:
+        assert tagger.tag([text], model)[0] and pii.find_spans([text], model)[0][1], text
+    assert pii.find_spans(["we met at home. At last"], model) == [([], [])]
+
+
 def test_personal_data(docs, real):
     got = {r.doc_id: r for r in pii.find_personal_data(real, most=50).collect()}
     for row in real.collect():
