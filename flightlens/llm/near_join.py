@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flightlens.llm.common import in_batches, null_safe_join, read_documents
+from flightlens.llm.common import WORDS, in_batches, null_safe_join, read_documents
 from flightlens.llm.matching import (
     WordHash, components, exact_links, linked_edges, mix64, parities, plausible_edges, record_batch, set_digest, shingles, words_of,
 )
@@ -163,14 +163,21 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which one stays per group of near duplicates: the one with the smallest key.
 
     A key is dropped if all of its rows are to go, so of different texts under one key none is lost. Repeated rows are
-    kept once; rows without a key stay.
+    kept once; rows without a key or without words stay.
     """
     found = stored(near_duplicates(docs, width, percent), "near-found")
     stays = F.max(F.col("doc_id") == F.col("component_id"))
     gone = found.filter("doc_id is not null").groupBy("doc_id").agg(stays.alias("stays")).filter("not stays").select("doc_id")
     left = docs.join(checked_broadcast(stored(gone, "near-gone")), "doc_id", "left_anti")
     repeated = found.filter("doc_id = component_id AND n_links > 0").groupBy("doc_id", "class_id").count().filter("count > 1")
-    return left.dropDuplicates(["doc_id", "text"]) if repeated.limit(1).count() else left
+    again = stored(repeated.select("doc_id").distinct().withColumn("_again", F.lit(True)), "near-again")
+    if not again.limit(1).count():
+        return left
+    # texts without words have no links, so they are no repeats even under such a key
+    twice = F.coalesce(F.col("_again") & F.col("text").rlike(WORDS), F.lit(False))
+    marked = left.join(checked_broadcast(again), "doc_id", "left")
+    rows = marked.filter(~twice).union(marked.filter(twice).dropDuplicates(["doc_id", "text"]))
+    return rows.select(*docs.columns)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,6 +200,13 @@ def test_keep_one(docs):
     assert near_join.keep_one(rows.limit(0)).count() == 0
 
 
+def test_keep_one_leaves_rows_without_key_or_words(docs):
+    alone = [(None, "no key here"), (None, "no key here"), (None, None), (None, None), (4, ""), (4, "")]
+    again = [(3, "one row given twice"), (3, "one row given twice"), (3, ""), (3, "")]
+    got = sorted(((r.doc_id, r.text) for r in near_join.keep_one(docs(*alone, *again)).collect()), key=str)
+    assert got == sorted([*alone, *again[1:]], key=str)
+
+
 def edited(text, edits, rng):
     out = list(text)
     for _ in range(edits):
