@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from flightlens.llm import classifier, decontamination, licenses, licenses_sql, mixing, mixing_sql, near_join, paragraphs, pii, quality_rules, sharding, tokens
+from flightlens.llm import classifier, decontamination, licenses, licenses_sql, merkle, merkle_sql, mixing, mixing_sql, near_join, paragraphs, pii, quality_rules, sharding, tokens, topk, whitening
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_vector_shards": sharding.op9_vector_shards,
     "op10_repeated_passages": paragraphs.op10_repeated_passages,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_exact_topk": topk.op12_exact_topk,
+    "op13_whitened_vectors": whitening.op13_whitened_vectors,
 }
 
-ORACLES = {**licenses_sql.ORACLES, **mixing_sql.ORACLES}
+ORACLES = {**licenses_sql.ORACLES, **mixing_sql.ORACLES, **merkle_sql.ORACLES, **topk.ORACLES}
