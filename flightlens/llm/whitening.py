@@ -123,7 +123,8 @@ def moments(fit: DataFrame, shift: np.ndarray, rest: np.ndarray, turn: np.ndarra
         for batch in batches:
             for i, row in zip(batch.column("i").to_pylist(), batch.column("row").to_pylist(), strict=True):
                 sums[i] = sums.get(i, 0) + np.frombuffer(row)
-        yield rows_of(np.array(list(sums.values())).reshape(len(sums), -1), sums)
+        if sums:
+            yield rows_of(np.array(list(sums.values())), sums)
 
     def rows_of(total, names):
         return pa.RecordBatch.from_arrays([pa.array(list(names), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["i", "row"])
