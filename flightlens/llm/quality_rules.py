@@ -100,7 +100,8 @@ def measure(text: str, lang: str | None, table: np.ndarray, references: dict) ->
     for word, n in zip(numbers, counts.tolist(), strict=True):
         plain[_strip(word)] += n
     best, nearest = (0.0, 0.0), None
-    for key in [lang] if lang in references else list(references):
+    # a text of a language that has no reference is not measured by another language's
+    for key in [lang] if lang in references else list(references) if lang is None else []:
         ref_chars, bins, ref_words = references[key]
         own = np.zeros(len(ref_words))
         for word, n in plain.items():
@@ -158,8 +159,8 @@ def quality_rules(
 
     A text is rejected if a base rule fails, or if it is long enough for a histogram and that histogram lies further from
     the reference of its language than the limit; for words the limit is that of :func:`word_limits`, at most ``max_word``.
-    A text of no or an unknown language is held against the nearest
-    reference. References come from all documents. Null and empty texts have no words, so the base rule fails. With no
+    A text without a language is held against the nearest reference; one whose language has no reference, as it is too rare
+    for one, has distances 0 and only the base rules to pass. References come from all documents. Null and empty texts have no words, so the base rule fails. With no
     reference at all (an empty table, or no words) distances are 0. One row per input row; other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
