@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flightlens.llm.common import in_batches, read_documents
 
 MAX_EDIT = 0.1  # edits per character of an item that still count as the item
-MIN_ITEM = 24  # normalised characters; a shorter item says too little to be a leak
+MIN_ITEM = 24  # normalised characters; a shorter item is a leak only word for word
 BLOCK = 20_000  # items that are looked for in one pass over the documents
 # Random walks, samples per walk, and positions per sample. Measured recall at the edit limit is over 0.99
 # (tests/llm/test_decontamination.py): one of WALKS * SAMPLES samples must agree in all its POSITIONS.
@@ -121,7 +121,16 @@ class Items:
     """
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.rows = [(i, n) for i, t in rows if len(n := normalised(t or "")) >= MIN_ITEM]
+        plain = [(i, normalised(t or "")) for i, t in rows]
+        self.rows = [(i, n) for i, n in plain if len(n) >= MIN_ITEM]
+        # short items, found as they are between borders of words; their numbers go on after those of the long ones
+        short = [(i, n) for i, n in plain if 0 < len(n) < MIN_ITEM]
+        self.ids = [i for i, _ in [*self.rows, *short]]
+        self.exact = ahocorasick.Automaton()
+        for r, (_, text) in enumerate(short, len(self.rows)):
+            self.exact.add_word(text, [*self.exact.get(text, [len(text)]), r])
+        if short:
+            self.exact.make_automaton()
         pieces: dict[str, list[tuple[int, int]]] = {}
         for r, (_, text) in enumerate(self.rows):
             count = edits_allowed(len(text)) + 2
@@ -140,6 +149,15 @@ class Items:
         self.edits = np.array([edits_allowed(len(t)) for _, t in self.rows], dtype=np.int64)
         self.signs, self.at = item_signs([t for _, t in self.rows])
 
+    def verbatim(self, text: str) -> set[int]:
+        """Short items that a normalised text holds word for word."""
+        found = set()
+        if len(self.exact):
+            for end, (size, *items) in self.exact.iter(text):
+                if (end < size or text[end - size] == " ") and (end + 1 == len(text) or text[end + 1] == " "):
+                    found.update(items)
+        return found
+
     def anchors(self, text: str) -> list[tuple[int, int]]:
         """(item, start) of item-sized windows of a normalised text with two whole pieces in place."""
         if not self.rows:
@@ -177,7 +195,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     agree with the item in some sample are checked by exact edit distance. Items are a stated query set: they go out in
     blocks of at most ``block``, one pass each, so a benchmark of any size is held in bounded memory.
 
-    Null and empty texts hold nothing; null or short items are not looked for. Repeated items are found under each of
+    Items under MIN_ITEM characters (in that form) are found only word for word, between borders of words, with 0 edits.
+
+    Null and empty texts hold nothing; items that are null or without a letter or digit are not looked for. Repeated items are found under each of
     their ids; repeated rows give repeated rows. Other columns are ignored.
     """
     sc = docs.sparkSession.sparkContext
@@ -186,11 +206,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
     made = None
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        shared = sc.broadcast(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r)))
+        shared = sc.broadcast({"rows": sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r))})
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = Items(shared.value)
-            yield from in_batches(lambda batch: _search(batch, known))(batches)
+            held = shared.value
+            if "items" not in held:  # built once per worker, which keeps it for its later tasks
+                held["items"] = Items(held["rows"])
+            yield from in_batches(lambda batch: _search(batch, held["items"]))(batches)
 
         part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, edits long")
         made = part if made is None else made.union(part)
@@ -199,14 +221,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFram
 
 def _search(batch: pa.RecordBatch, known: Items) -> pa.RecordBatch:
     placed: list[tuple[int, int, int, str]] = []
+    best: dict[tuple[int, int], int] = {}
     for row, text in enumerate(batch.column(1).to_pylist()):
         if text:
             plain = normalised(text)
+            best |= dict.fromkeys(((row, item) for item in known.verbatim(plain)), 0)
             for item, start in known.anchors(plain):
                 size, slack = len(known.rows[item][1]), int(known.edits[item])
                 around = plain[max(0, start - 2 * slack) : start + size + 2 * slack]
                 placed.append((row, item, min(start, 2 * slack), around))
-    best: dict[tuple[int, int], int] = {}
     for some in (placed[i : i + 5000] for i in range(0, len(placed), 5000)):
         windows = [around[at : at + len(known.rows[item][1])] for _, item, at, around in some]
         hit = collide(windows, np.array([p[1] for p in some]), known.signs, known.at)
@@ -217,7 +240,7 @@ def _search(batch: pa.RecordBatch, known: Items) -> pa.RecordBatch:
                     best[row, item] = min(edits, best.get((row, item), edits))
     found = sorted(best.items())
     keys = batch.column(0).take(pa.array([r for (r, _), _ in found], pa.int64()))
-    ids = pa.array([known.rows[i][0] for (_, i), _ in found], pa.int64())
+    ids = pa.array([known.ids[i] for (_, i), _ in found], pa.int64())
     return pa.RecordBatch.from_arrays([keys, ids, pa.array([e for _, e in found], pa.int64())], ["doc_id", "item_id", "edits"])
 
 
