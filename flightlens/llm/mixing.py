@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from flightlens.llm.common import hash32, null_safe_join, ranked, read_documents, word_count
+from flightlens.llm.common import beside, hash32, null_safe_join, ranked, read_documents, with_place, word_count
 from flightlens.session import stored
 
 WEIGHTS = (1, 2, 3)
@@ -30,8 +30,10 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights=WEIGHTS, ma
     rows = rows.withColumn("_rest", F.col("_total") - F.coalesce(F.sum(cap).over(before), F.lit(0)))
     rows = rows.withColumn("_open", F.col("_weights") - F.coalesce(F.sum("_w").over(before), F.lit(0)))
     rows = rows.withColumn("_capped", cap * F.col("_open") <= F.col("_w") * F.col("_rest"))
-    level = F.when(~F.col("_capped"), F.col("_rest").cast("double") / F.col("_open"))
-    rows = rows.withColumn("_level", F.max_by(level, -F.when(~F.col("_capped"), F.col("source_size") / F.col("_w"))).over(everything))
+    # the level comes from the capped sources alone, so it does not matter how sources stand that tie
+    rest = F.col("_total") - F.coalesce(F.sum(F.when(F.col("_capped"), cap)).over(everything), F.lit(0))
+    open_ = F.col("_weights") - F.coalesce(F.sum(F.when(F.col("_capped"), F.col("_w"))).over(everything), F.lit(0))
+    rows = rows.withColumn("_level", rest.cast("double") / F.nullif(open_, F.lit(0)))
     target = F.when(F.col("_capped"), cap.cast("double")).otherwise(F.col("_w") * F.col("_level"))
     return rows.select(source, "source_size", target.alias("target"))
 
@@ -77,10 +79,18 @@ def mix(
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as :func:`mix` takes it, with the columns of ``docs``."""
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    taken = mix(sized, "_words", **options).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mixed corpus: every document as often as :func:`mix` takes it, with the columns of ``docs``.
+
+    Ranks are found without the texts; documents meet their number of copies in one join by their place.
+    """
+    return beside(docs, lambda rows: _emit(with_place(rows, "mix-documents"), **options)).select(*docs.columns)
+
+
+def _emit(placed: DataFrame, source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    light = placed.select("_file", "_index", source, key, word_count(F.col("text")).alias("_words"))
+    taken = mix(light, "_words", source, key, **options).filter("copies > 0").select("_file", "_index", "copies")
+    joined = placed.join(taken, ["_file", "_index"])
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("_file", "_index", "copies", "_copy")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
