@@ -5,14 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from flightlens.session import stored
+
 # What separates words, everywhere: space, tab, newline, vertical tab, form feed, carriage return.
 WORDS = r"[^\x20\x09-\x0D]+"
 
 ROWS_PER_BUCKET = 100_000
 
 
+_PLAIN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def beside(docs: DataFrame, work: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = _PLAIN) -> DataFrame:
+    """``work(docs)`` with all columns but ``keep`` under names that no operator uses, and their own names afterwards.
+
+    Where ``work`` adds a column that ``docs`` has too, the added one is returned.
+    """
+    hidden = {c: f"_beside_{i}" for i, c in enumerate(docs.columns) if c not in keep}
+    made = work(docs.withColumnsRenamed(hidden))
+    added = set(made.columns) - set(hidden.values())
+    lost = [h for c, h in hidden.items() if c in added]
+    return made.drop(*lost).withColumnsRenamed({h: c for c, h in hidden.items() if h not in lost})
+
+
+def with_place(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``_file`` and ``_index``, which tell every row apart and are the same whenever the table is read.
+
+    They are the Parquet file and the row's number in it; a frame that is not read from Parquet is stored first.
+    """
+    place = {"_file": F.col("_metadata.file_path"), "_index": F.col("_metadata.row_index")}
+    try:
+        return docs.withColumns(place)
+    except AnalysisException:
+        return stored(docs, name).withColumns(place)
+
+
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -9,10 +9,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from flightlens.llm.common import hash32, ranked
 from flightlens.session import checked_broadcast, stored
 
 MEMO = 300_000  # words whose hash a worker remembers; then it starts anew
-CHUNK = 2_000_000  # keys that a task sorts at once
+CHUNK = 500_000  # keys that a task sorts at once
 FEW = 32  # ids under one key up to which they are paired; more are chained
 MARK = np.iinfo(np.int64).min  # stands for the ids of a key that were chained already
 BLOCK_SETS, BLOCK_ITEMS = 512, 1_000_000  # a tile holds two blocks of at most about so many sets and shingles
@@ -186,8 +187,10 @@ def pairs_of(number: np.ndarray, count: np.ndarray, ids: np.ndarray) -> tuple[np
         right.append(ids[step:][same])
     if not left:
         return ids[:0], ids[:0]
-    both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)
-    return both[:, 0], both[:, 1]
+    names, flat = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    half = len(flat) // 2
+    pairs = np.unique(flat[:half] * len(names) + flat[half:])
+    return names[pairs // max(1, len(names))], names[pairs % max(1, len(names))]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +229,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     current = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
     before = None
     while True:
-        mark = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        mark = current.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if mark == before or not mark[0]:
             break
         before = mark
@@ -242,20 +245,17 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def exact_links(sets: DataFrame, clusters: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
     """(id, root, links) for ids with a link, one row per id and tile; a link: 100 * common >= percent * union.
 
-    ``sets``: (id, items). Inside each cluster all pairs of sets are compared, tile by tile, without writing pairs: a tile
-    is a pair of blocks, so a large cluster is spread over many tasks. ``weights``: (id, weight), how many documents have
-    the set. ``root`` is the smallest id connected in the tile.
+    ``sets``: (id, items), where an id may stand more than once. Inside each cluster all pairs of sets are compared, tile by
+    tile, without writing pairs: a tile is a pair of blocks, so a large cluster is spread over many tasks. ``weights``:
+    (id, weight, size), how many documents have the set and how many items it has. ``root`` is the smallest id connected
+    in the tile. Tiles are laid out without the items, which are sent once for each tile.
     """
-    rows = sets.join(checked_broadcast(clusters.withColumnRenamed("root", "cluster")), "id").dropDuplicates(["id"]).join(weights, "id")
-    rows = stored(rows, "cluster-sets")
-    totals = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("items")).alias("s"))
-    totals = totals.select("cluster", F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    placed = rows.join(totals, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = placed.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "weight", "items")
+    rows = stored(clusters.withColumnRenamed("root", "cluster").join(weights, "id"), "cluster-ids")
+    tiles = stored(_tiles(rows, percent), "cluster-tiles")
+    tiles = sets.join(checked_broadcast(tiles), "id").select("cluster", "i", "j", "block", "id", "weight", "items")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, held = None, []
+        tile, held, known = None, [], set()
         for batch in batches:
             key = list(zip(*(batch.column(c).to_pylist() for c in ("cluster", "i", "j")), strict=True))
             ids, weight, block = (batch.column(c).to_pylist() for c in ("id", "weight", "block"))
@@ -264,9 +264,11 @@ def exact_links(sets: DataFrame, clusters: DataFrame, weights: DataFrame, percen
             for r, k in enumerate(key):
                 if k != tile and held:
                     yield from compare(tile, held)
-                    held = []
+                    held, known = [], set()
                 tile = k
-                held.append((ids[r], weight[r], block[r], np.unique(flat[offsets[r] : offsets[r + 1]])))
+                if ids[r] not in known:
+                    known.add(ids[r])
+                    held.append((ids[r], weight[r], block[r], np.unique(flat[offsets[r] : offsets[r + 1]])))
         if held:
             yield from compare(tile, held)
 
@@ -279,6 +281,34 @@ def exact_links(sets: DataFrame, clusters: DataFrame, weights: DataFrame, percen
     return ordered.mapInArrow(verify, "id long, root long, links long")
 
 
+def _tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """(id, cluster, i, j, block, weight): the tiles in which the sets of ``rows`` (id, cluster, weight, size) take part.
+
+    A cluster that fits into one block is one tile. In a larger one, sets are cut by size into bands whose ends stand in
+    the ratio of the similarity, so partners lie in the same band or the next; a band is cut into blocks in order of size.
+    A tile is a block, or two of them, if the largest of one and the least of the other are near enough.
+    """
+    whole = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    one = (F.col("c") <= BLOCK_SETS) & (F.col("s") <= BLOCK_ITEMS)
+    large = checked_broadcast(stored(whole.filter(~one).select("cluster"), "cluster-large"))
+    alone = rows.join(large, "cluster", "left_anti").select("id", "cluster", F.lit("").alias("i"), F.lit("").alias("j"), F.lit("").alias("block"), "weight")
+    ratio = 100 / percent * (1 + 1e-9)
+    band = F.floor(F.log(F.col("size").cast("double")) / np.log(ratio)).cast("int")
+    cut = rows.join(large, "cluster", "left_semi").withColumns({"band": band, "_fine": hash32(F.col("id"))})
+    most = F.greatest(F.lit(1), F.least(F.lit(BLOCK_SETS), F.floor(BLOCK_ITEMS / F.pow(F.lit(ratio), F.col("band") + 1)))).cast("long")
+    placed = ranked(cut, ["cluster", "band"], "size", "_fine", ["id"], "_rank").withColumn("number", F.floor((F.col("_rank") - 1) / most))
+    placed = stored(placed.select("id", "cluster", "weight", "size", "band", "number"), "cluster-blocks")
+    blocks = placed.groupBy("cluster", "band", "number").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    blocks = stored(blocks.withColumn("block", F.concat_ws(":", "band", "number")), "cluster-ends")
+    other = blocks.select("cluster", F.col("band").alias("_band"), *[F.col(c).alias(f"_{c}") for c in ("number", "low", "high", "block")])
+    near = blocks.withColumn("_band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(other, ["cluster", "_band"])
+    near = near.filter((F.col("band") < F.col("_band")) | (F.col("number") <= F.col("_number")))
+    near = near.filter((F.col("low") * percent <= F.col("_high") * 100) & (F.col("_low") * percent <= F.col("high") * 100))
+    both = F.array_distinct(F.array(F.struct("band", "number", "block"), F.struct(F.col("_band").alias("band"), F.col("_number").alias("number"), F.col("_block").alias("block"))))
+    sides = near.select("cluster", F.col("block").alias("i"), F.col("_block").alias("j"), F.explode(both).alias("_side")).select("cluster", "i", "j", "_side.*")
+    return alone.union(placed.join(sides, ["cluster", "band", "number"]).select("id", "cluster", "i", "j", "block", "weight"))
+
+
 def tile_links(held: list[tuple], across: bool, percent: int) -> list[tuple[int, int, int]]:
     """Links among the sets of a tile; only between its two blocks if ``across``.
 

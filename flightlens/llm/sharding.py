@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from flightlens.llm.common import hash32, ranked, read_documents, word_count
+from flightlens.llm.common import beside, hash32, ranked, read_documents, with_place, word_count
 from flightlens.session import stored
 
 SHARDS = 16
@@ -42,6 +42,11 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
 
 
 def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int = SHARDS) -> DataFrame:
+    """All columns of ``docs`` with the shard and slot of every row; see :func:`_pack`. Names may clash."""
+    return beside(docs, lambda rows: _pack(rows, text, key, shards), (text, key))
+
+
+def _pack(docs: DataFrame, text: str, key: str, shards: int) -> DataFrame:
     """Add ``size``, ``tokens``, ``shard`` and ``slot`` to every row of ``docs``.
 
     Size is the UTF-8 bytes of the text plus 1, tokens its words. Rows of equal texts form a group, which goes to one
@@ -99,6 +104,18 @@ def pack(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int =
     return numbered.withColumn("slot", F.col("slot") - 1).drop("_coarse", "_fine")
 
 
+def shard(docs: DataFrame, text: str = "text", key: str = "doc_id", shards: int = SHARDS) -> DataFrame:
+    """What :func:`pack` adds, for tables with texts: shards and slots are found without them, then joined once by place."""
+
+    def work(rows: DataFrame) -> DataFrame:
+        placed = with_place(rows, "shard-documents")
+        light = pack(placed.select("_file", "_index", key, text), text, key, shards)
+        found = light.select("_file", "_index", "size", "tokens", "shard", "slot")
+        return placed.join(found, ["_file", "_index"]).drop("_file", "_index")
+
+    return beside(docs, work, (text, key))
+
+
 def _lot(size: Column, group: Column) -> list[Column]:
     return [
         F.length(F.bin(size)).alias("_class"),
