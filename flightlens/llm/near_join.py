@@ -10,10 +10,62 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flightlens.llm.common import WORDS, beside, in_batches, null_safe_join, read_documents
 from flightlens.llm.matching import (
-    WordHash, components, exact_links, linked_edges, parities, plausible_edges, record_batch, set_digest, shingles, words_of,
+    WordHash, components, exact_links, linked_edges, mix64, parities, plausible_edges, record_batch, set_digest, shingles, words_of,
 )
 from flightlens.session import checked_broadcast, stored
 
+BAND = 1.35  # ratio of the sizes at the ends of a band
+# From this similarity on (in percent) parts of the shingle space are keys, below it the rarest shingles. A part holds about
+# (1 + t) / (2 - 2 t) shingles: nine at 90 %, which unlike sets hardly share, but only four at 80 %.
+PARTS_FROM = 85
+
+
+class Bands:
+    """Size bands and the number of parts into which a band cuts the shingle space.
+
+    Sets of sizes a and b with similarity t or more differ in at most (a + b)(1 - t)/(1 + t) shingles. With more non-empty
+    parts than that, some part is equal in both and not empty, so equal parts find every similar pair. A set belongs to
+    its own band, and to the next if a similar larger set may lie there. Sets with too few non-empty parts also offer
+    their empty ones, so nothing is lost.
+    """
+
+    def __init__(self, percent: int):
+        self.similar = percent / 100
+        if BAND * self.similar <= 1:
+            raise ValueError(f"bands need a similarity over {1 / BAND:.2f}")
+        self.cache: dict[int, tuple[int, int]] = {}
+
+    def of(self, size: int) -> list[int]:
+        band = max(0, int(np.ceil(np.log(size) / np.log(BAND) - 1e-9)))
+        top = int(np.floor(BAND**band + 1e-9))
+        return [band, band + 1] if size >= self.similar * (top + 1) else [band]
+
+    def parts(self, band: int) -> tuple[int, int]:
+        """(most shingles in which two similar sets of a band differ, number of parts)."""
+        if band not in self.cache:
+            top = int(np.floor(BAND**band + 1e-9))
+            errors = int(np.floor(2 * top * (1 - self.similar) / (1 + self.similar) + 1e-9))
+            low, wanted = max(1.0, self.similar * BAND ** (band - 1)), 1.02 * (errors + 1) + 2
+            parts = next((m for m in range(errors + 1, 2 * errors + 8) if m * (1 - np.exp(-low / m)) >= wanted), errors + 1)
+            self.cache[band] = (errors, parts)
+        return self.cache[band]
+
+    def keys(self, items: np.ndarray) -> np.ndarray:
+        made = []
+        scrambled = mix64(items + np.uint64(0x632BE59BD9B4E019))
+        for band in self.of(len(items)):
+            errors, parts = self.parts(band)
+            if not errors:
+                continue  # only equal sets can be similar, and they are one class already
+            part = (scrambled >> np.uint64(11)) % np.uint64(parts)
+            sums, count = np.zeros(parts, dtype=np.uint64), np.bincount(part.astype(np.int64), minlength=parts)
+            np.add.at(sums, part.astype(np.int64), scrambled)
+            keys = mix64(sums ^ mix64(np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)))
+            full = count > 0
+            made.append(keys[full] if full.sum() > errors else keys)
+        return np.concatenate(made) if made else np.zeros(0, dtype=np.uint64)
+
+
 SLOTS, SEGMENTS = 2**20, 16  # counters of shingles, by hash; they are sent in so many pieces
 
 
@@ -30,9 +82,10 @@ def rare_first(items: np.ndarray, percent: int, counts: np.ndarray) -> np.ndarra
     return items[np.argsort(order, kind="stable")[: n + percent * -n // 100 + 1]]
 
 
-def classes(docs: DataFrame, width: int) -> DataFrame:
+def classes(docs: DataFrame, width: int, counted: bool) -> DataFrame:
     """(doc_id, n_shingles, _class, _bits, _segment): a row per document with the digest and bitmap of its set, and rows
-    with a segment number that hold, packed, how many of a task's documents have a shingle in each slot of the segment.
+    with a segment number that hold, packed, how many of a task's documents have a shingle in each slot of the segment
+    (only if ``counted``).
     """
 
     def run(batches):
@@ -40,7 +93,7 @@ def classes(docs: DataFrame, width: int) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingles(words_of(t or ""), width, memo) for t in batch.column(0).to_pylist()]
-            for s in sets:
+            for s in sets if counted else ():
                 np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), np.uint32(1))
             digests = [set_digest(s) if len(s) else None for s in sets]
             bits = [parities(s) if len(s) else None for s in sets]
@@ -99,13 +152,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     A document's set holds the distinct shingles of ``width`` words (A-Z lower-cased; with fewer words, the whole
     sequence). Two documents link when 100 * common >= percent * union. Equal sets are one class, treated once. Classes
-    that share one of their rarest shingles (see :func:`rare_first`) are candidates; connected candidates are compared in
-    tiles of like size, with bitmaps and then exactly. ``component_id`` is the smallest doc_id reachable by links,
+    that share the content of a part of the shingle space (see :class:`Bands`) or, below 85 %, one of their rarest shingles
+    (see :func:`rare_first`) are candidates; connected candidates are compared in tiles of like size, with bitmaps and then
+    exactly. ``component_id`` is the smallest doc_id reachable by links,
     ``n_links`` the number of other documents linked with. Documents without words, null texts included, have 0 shingles,
     no class, themselves as component and no link. Null keys count as unknown: the smallest known key of a component names
     it. Repeated rows link with each other. Other columns are ignored. An empty table gives an empty one.
     """
-    counted = stored(classes(docs.select("doc_id", "text"), width), "near-classes")
+    counted = stored(classes(docs.select("doc_id", "text"), width, percent < PARTS_FROM), "near-classes")
     light = counted.filter("_segment is null").drop("_segment")
     counts = docs.sparkSession.sparkContext.broadcast(slot_counts(counted.filter("_segment is not null")))
     own = stored(
@@ -115,7 +169,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         "near-sizes",
     )
 
-    memo = WordHash()
+    memo, bands = WordHash(), Bands(percent) if percent >= PARTS_FROM else None
 
     def keys(batch: pa.RecordBatch):
         ids, found, owner = [], [], []
@@ -124,7 +178,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             items = shingles(words_of(t or ""), width, memo)
             if len(items) and (d := set_digest(items)) not in seen:
                 seen.add(d)
-                k = rare_first(items, percent, counts.value)
+                k = bands.keys(items) if bands else rare_first(items, percent, counts.value)
                 owner.append(np.full(len(k), len(ids)))
                 found.append(k)
                 ids.append(d)

@@ -162,3 +162,19 @@ def test_large_groups_beside_texts(spark, tmp_path):
         a, b = (sorted((r.doc_id, r["shard"] if "shard" in r else 0) for r in work(t).collect()) for t in (made, read))
         assert [x[0] for x in a] == [x[0] for x in b] and (work is mixing.emit or a == b)
     assert isinstance(made.schema["doc_id"].dataType, T.LongType) and np.unique([r[0] for r in rows]).size == 400
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_large_clusters_in_many_tiles(docs, monkeypatch, width, percent):
+    from flightlens.llm import matching
+
+    monkeypatch.setattr(matching, "BLOCK_SETS", 4)
+    rng = random.Random(percent)
+    words = [f"w{k}" for k in range(160)]
+    rows = []
+    for k in range(70):  # a chain of texts of many sizes, each like the next
+        cut = words[: 50 + k + rng.randint(0, 2)]
+        rows.append((k, " ".join(cut)))
+    rows += [(100 + k, " ".join(w if rng.random() > 0.01 else f"x{k}" for w in words)) for k in range(30)]
+    got = near_join.near_duplicates(docs(*rows), width, percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()
+    assert sorted(map(tuple, got), key=str) == brute_join(rows, width, percent)
