@@ -1 +1,10 @@
-"""Flight emissions analytics on Spark: DataFrame-in, DataFrame-out operators."""
+"""Flight emissions analytics on Spark: DataFrame-in, DataFrame-out operators.
+
+Functions that run inside Python workers are shipped by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
