@@ -1038,3 +1038,180 @@ UNPIVOT INCLUDE NULLS (value FOR data_source IN (real, forecast)) WHERE date >=
 
 forecast_report("movements_forecast", "count(*)", MOVEMENTS, "ATM", 1, 4)
 forecast_report("co2_forecast", "sum(co2)", CO2, "CO2", 1000, 1)
+
+# --- tests, likelihood and decomposition of series -----------------------------------------------
+
+part(
+    "lik_w",
+    """SELECT series_key, row_number() OVER (PARTITION BY series_key ORDER BY t) AS k, w FROM (
+    SELECT series_key, t, c - 0.3 * lag(c) OVER s + 0.1 * lag(c, 2) OVER s AS w
+    FROM (SELECT series_key, t, x - mu AS c FROM steps JOIN steps_mean USING (series_key))
+    WINDOW s AS (PARTITION BY series_key ORDER BY t)) WHERE w IS NOT NULL""",
+    "steps", "steps_mean",
+)
+part(
+    "lik_path",
+    """SELECT series_key, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS e1, CAST(0 AS DOUBLE) AS e2, CAST(0 AS DOUBLE) AS e3,
+    CAST(0 AS DOUBLE) AS e4, CAST(0 AS DOUBLE) AS e5, CAST(0 AS DOUBLE) AS e6, CAST(0 AS DOUBLE) AS e7, CAST(0 AS DOUBLE) AS e8
+  FROM steps_mean
+  UNION ALL
+  SELECT p.series_key, p.k + 1, w - 0.4 * e1 - 0.2 * e7 - 0.08 * e8, e1, e2, e3, e4, e5, e6, e7
+  FROM lik_path p JOIN lik_w w ON w.series_key = p.series_key AND w.k = p.k + 1""",
+    "lik_w", "steps_mean",
+)
+part("lik_e", "SELECT series_key, k, e1 AS e FROM lik_path WHERE k > 0", "lik_path")
+part(
+    "lik_sum",
+    """SELECT *, -0.5 * used * (ln(2 * pi() * sigma2) + 1) AS loglik
+  FROM (SELECT series_key, count(*) AS used, avg(e * e) AS sigma2 FROM lik_e GROUP BY 1)""",
+    "lik_e",
+)
+oracle(
+    "sarima_likelihood",
+    f"""SELECT series_key, CAST(used AS INT) AS used, {rounded('sigma2', 6)} AS sigma2, {rounded('loglik', 6)} AS loglik,
+  {rounded('14 - 2 * loglik', 6)} AS aic, {rounded('14 - 2 * loglik + 112 / (used - 8.0)', 6)} AS aicc,
+  {rounded('7 * ln(used) - 2 * loglik', 6)} AS bic FROM lik_sum""",
+    "lik_sum",
+)
+part(
+    "lb_r",
+    """SELECT a.series_key, lag, any_value(n) AS n, sum(a.c * b.c) / any_value(power) AS r
+  FROM (SELECT series_key, k, e - avg(e) OVER (PARTITION BY series_key) AS c, unnest(generate_series(1, 20)) AS lag FROM lik_e) a
+  JOIN (SELECT series_key, k, e - avg(e) OVER (PARTITION BY series_key) AS c FROM lik_e) b
+    ON a.series_key = b.series_key AND b.k = a.k + a.lag
+  JOIN (SELECT series_key, count(*) AS n, sum(e * e) - sum(e) * sum(e) / count(*) AS power FROM lik_e GROUP BY 1) p
+    ON a.series_key = p.series_key
+  GROUP BY 1, 2""",
+    "lik_e",
+)
+part(
+    "lb_q",
+    """SELECT series_key, lag, r, greatest(lag - 5, 0) AS freedom,
+    n * (n + 2) * sum(r * r / (n - lag)) OVER (PARTITION BY series_key ORDER BY lag) AS statistic FROM lb_r""",
+    "lb_r",
+)
+# the lower incomplete gamma function by its power series; far beyond the shape the tail is 0 to all digits shown
+LOWER = (
+    "list_sum(list_transform(range(800), lambda i: exp(-statistic / 2 + (freedom / 2.0 + i) * ln(statistic / 2)"
+    " - lgamma(freedom / 2.0 + i + 1))))"
+)
+oracle(
+    "ljung_box",
+    f"""SELECT series_key, CAST(lag AS INT) AS lag, {rounded('r', 8)} AS r, {rounded('statistic', 6)} AS statistic,
+  CAST(freedom AS INT) AS freedom, CASE WHEN freedom >= 1 THEN CASE WHEN statistic > 500 THEN 0.0
+    ELSE {rounded(f'greatest(0.0, 1 - {LOWER})', 8)} END END AS p_value FROM lb_q""",
+    "lb_q",
+)
+part(
+    "kp_c",
+    """SELECT series_key, d, row_number() OVER (PARTITION BY series_key, d ORDER BY t) AS k,
+    y - avg(y) OVER (PARTITION BY series_key, d) AS c, count(*) OVER (PARTITION BY series_key, d) AS n
+  FROM (SELECT series_key, 0 AS d, t, value AS y FROM moves UNION ALL SELECT series_key, 1, t, x FROM steps)""",
+    "moves", "steps",
+)
+part(
+    "kp_walk",
+    """SELECT series_key, d, any_value(n) AS n, sum(s * s) AS walk FROM (
+    SELECT series_key, d, n, sum(c) OVER (PARTITION BY series_key, d ORDER BY k) AS s FROM kp_c) GROUP BY 1, 2""",
+    "kp_c",
+)
+part(
+    "kp_var",
+    """SELECT series_key, d, any_value(most) AS lags,
+    sum(cov * CASE WHEN lag = 0 THEN 1 ELSE 2 * (1 - lag / (most + 1.0)) END) AS variance FROM (
+    SELECT a.series_key, a.d, a.lag, any_value(a.most) AS most, sum(a.c * b.c) / any_value(a.n) AS cov
+    FROM (SELECT *, unnest(generate_series(0, most)) AS lag
+      FROM (SELECT *, CAST(floor(4 * pow(n / 100.0, 0.25)) AS INT) AS most FROM kp_c)) a
+    JOIN kp_c b ON a.series_key = b.series_key AND a.d = b.d AND b.k = a.k + a.lag GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+    "kp_c",
+)
+oracle(
+    "kpss_levels",
+    f"""SELECT series_key, d, CAST(n AS INT) AS n, lags, {rounded('walk / (n * n * variance)', 8)} AS statistic
+  FROM kp_walk JOIN kp_var USING (series_key, d)""",
+    "kp_walk", "kp_var",
+)
+part(
+    "ar_sigma",
+    """SELECT series_key, avg(e * e) AS sigma2 FROM (
+    SELECT series_key, x - constant - ar_1 * lag(x) OVER w - ar_2 * lag(x, 2) OVER w AS e
+    FROM steps JOIN ar_fit USING (series_key) WINDOW w AS (PARTITION BY series_key ORDER BY t)) GROUP BY 1""",
+    "steps", "ar_fit",
+)
+part(
+    "ar_psi",
+    """SELECT series_key, 1 AS h, CAST(1 AS DOUBLE) AS p1, CAST(0 AS DOUBLE) AS p2, CAST(0 AS DOUBLE) AS p3, CAST(1 AS DOUBLE) AS total
+  FROM ar_fit
+  UNION ALL
+  SELECT series_key, h + 1, (1 + ar_1) * p1 + (ar_2 - ar_1) * p2 - ar_2 * p3, p1, p2,
+    total + pow((1 + ar_1) * p1 + (ar_2 - ar_1) * p2 - ar_2 * p3, 2)
+  FROM ar_psi JOIN ar_fit USING (series_key) WHERE h < 60""",
+    "ar_fit",
+)
+WIDTH = "1.959963984540054 * sqrt(sigma2 * total)"
+oracle(
+    "forecast_intervals",
+    f"""SELECT series_key, h AS t, {rounded('y', 6)} AS value, {rounded('sqrt(sigma2 * total)', 6)} AS se,
+  {rounded(f'y - {WIDTH}', 6)} AS low, {rounded(f'y + {WIDTH}', 6)} AS high
+  FROM ar_path JOIN ar_psi USING (series_key, h) JOIN ar_sigma USING (series_key)""",
+    "ar_path", "ar_psi", "ar_sigma",
+)
+
+
+def local_lines(name: str, source: str, span: int, beyond: int) -> None:
+    """Part ``name`` (key, pt, v): local lines over ``source`` (key, place, y, n), up to ``beyond`` places outside it."""
+    part(
+        name,
+        f"""SELECT key, pt, swy / sw + CASE WHEN swdd / sw - pow(swd / sw, 2) > pow(0.001 * greatest(1, n - 1), 2)
+      THEN -swd / sw * (swdy / sw - swd / sw * swy / sw) / (swdd / sw - pow(swd / sw, 2)) ELSE 0 END AS v
+  FROM (SELECT key, pt, n, sum(w) AS sw, sum(w * d) AS swd, sum(w * d * d) AS swdd, sum(w * y) AS swy, sum(w * d * y) AS swdy
+    FROM (SELECT key, pt, n, y, place - pt AS d, CASE WHEN abs(place - pt) <= 0.001 * reach THEN 1
+        WHEN abs(place - pt) > 0.999 * reach THEN 0 ELSE pow(1 - pow(abs(place - pt) / reach, 3), 3) END AS w
+      FROM (SELECT *, greatest(pt - low, low + q - 1 - pt) + greatest(0, {span} - n) // 2 AS reach
+        FROM (SELECT *, least(greatest(pt - {(span - 1) // 2}, 0), n - q) AS low
+          FROM (SELECT key, n, least({span}, n) AS q, unnest(generate_series({-beyond}, n - 1 + {beyond})) AS pt
+            FROM (SELECT DISTINCT key, n FROM {source})))) p
+      JOIN (SELECT key AS k2, place, y FROM {source}) s ON k2 = key AND place BETWEEN low AND low + q - 1)
+    GROUP BY 1, 2, 3)""",
+        source,
+    )
+
+
+def moving(name: str, source: str, width: int) -> None:
+    """Part ``name`` (key, i, v): means of ``width`` values of ``source`` in a row, from the first."""
+    part(
+        name,
+        f"""SELECT key, i, v FROM (SELECT key, i, avg(v) OVER w AS v, count(*) OVER w AS have FROM {source}
+    WINDOW w AS (PARTITION BY key ORDER BY i ROWS BETWEEN CURRENT ROW AND {width - 1} FOLLOWING)) WHERE have = {width}""",
+        source,
+    )
+
+
+part("stl_y", "SELECT series_key, t, t - 1 AS k, value AS y, count(*) OVER (PARTITION BY series_key) AS n FROM moves", "moves")
+part(
+    "stl_sub",
+    """SELECT {'s': series_key, 'p': k % 7} AS key, k // 7 AS place, y, count(*) OVER (PARTITION BY series_key, k % 7) AS n
+  FROM stl_y""",
+    "stl_y",
+)
+local_lines("stl_smooth", "stl_sub", 7, 1)
+part("stl_cycle", "SELECT key.s AS key, key.p + (pt + 1) * 7 AS i, v FROM stl_smooth", "stl_smooth")
+moving("stl_low1", "stl_cycle", 7)
+moving("stl_low2", "stl_low1", 7)
+moving("stl_low3", "stl_low2", 3)
+part("stl_flat", "SELECT key, i AS place, v AS y, count(*) OVER (PARTITION BY key) AS n FROM stl_low3", "stl_low3")
+local_lines("stl_low", "stl_flat", 7, 0)
+part(
+    "stl_season",
+    """SELECT y.series_key, y.t, y.k, y.y, y.n, c.v - l.v AS seasonal FROM stl_y y
+  JOIN stl_cycle c ON c.key = y.series_key AND c.i = y.k + 7 JOIN stl_low l ON l.key = y.series_key AND l.pt = y.k""",
+    "stl_y", "stl_cycle", "stl_low",
+)
+part("stl_left", "SELECT series_key AS key, k AS place, y - seasonal AS y, n FROM stl_season", "stl_season")
+local_lines("stl_trend", "stl_left", 15, 0)
+oracle(
+    "stl_pass",
+    f"""SELECT series_key, t, {rounded('seasonal', 6)} AS seasonal, {rounded('v', 6)} AS trend,
+  {rounded('y - seasonal - v', 6)} AS remainder FROM stl_season JOIN stl_trend ON key = series_key AND pt = k""",
+    "stl_season", "stl_trend",
+)

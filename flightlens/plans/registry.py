@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flightlens.functions import classify, nulls, scalars
 from flightlens.operators import (
-    aggregate, clean, correlation, enrich, polyfit, reshape, sarima, series, smooth,
+    aggregate, arima_ml, clean, correlation, diagnostics, enrich, order_search as orders, polyfit, reshape, sarima, series, smooth, stl,
 )
 from flightlens.plans import emissions as em
 from flightlens.plans import forecasts, prototype, reports
@@ -606,3 +606,74 @@ def co2_forecast(spark, d):
         train, actual, forecasts.CO2, 1998, value="CO2", divisor=1000.0, shown_from=date(1999, 6, 1)
     )
     return _rounded(table, CO2=1)
+
+
+# Weights of the past at which the likelihood is computed; a seasonal moving average, multiplied out.
+GIVEN_AR, GIVEN_MA = {1: 0.3, 2: -0.1}, {1: 0.4, 7: 0.2, 8: 0.08}
+GIVEN = sarima.Sarima((2, 1, 1), (0, 0, 1), 7)
+WEEKLY = sarima.Sarima((1, 1, 1), (0, 0, 1), 7)
+
+
+def _given_likelihood(spark, d):
+    return diagnostics.conditional_likelihood(_movements(spark, d), GIVEN, GIVEN_AR, GIVEN_MA)
+
+
+@query
+def sarima_likelihood(spark, d):
+    """Conditional likelihood and criteria of a given seasonal model, per role."""
+    return _rounded(_given_likelihood(spark, d).drop("e"), sigma2=6, loglik=6, aic=6, aicc=6, bic=6)
+
+
+@query
+def ljung_box(spark, d):
+    """Ljung-Box test of the errors of that model for each lag."""
+    return _rounded(diagnostics.ljung_box(_given_likelihood(spark, d), 20, fitted=5), r=8, statistic=6, p_value=8)
+
+
+@query
+def kpss_levels(spark, d):
+    """Level test of daily movements and of their differences."""
+    daily = stored(_movements(spark, d), "daily")
+    both = [diagnostics.kpss(daily, k).withColumn("d", F.lit(k)) for k in (0, 1)]
+    return _rounded(both[0].unionByName(both[1]), statistic=8)
+
+
+@query
+def forecast_intervals(spark, d):
+    """Forecast of the order-two autoregression with standard errors and 95 % intervals."""
+    fitted = sarima.fit(_movements(spark, d), SHORT_AR)
+    past = lambda v, i: v - F.col("constant") - F.get("ar", F.lit(0)) * F.get("x", i - 1) - F.get("ar", F.lit(1)) * F.get("x", i - 2)
+    errors = F.filter(F.transform("x", past), lambda v: v.isNotNull())
+    sigma2 = F.aggregate(errors, F.lit(0.0), lambda s, v: s + v * v) / F.size(errors)
+    ahead = arima_ml.forecast_intervals(fitted.withColumn("sigma2", sigma2), SHORT_AR, 60)
+    return _rounded(ahead, value=6, se=6, low=6, high=6)
+
+
+@query
+def stl_pass(spark, d):
+    """One pass of the seasonal-trend decomposition of daily movements by week."""
+    parts = stl.stl(_movements(spark, d), 7, seasonal_span=7, inner=1).drop("value", "weight")
+    return _rounded(parts, seasonal=6, trend=6, remainder=6)
+
+
+@query
+def sarima_ml_fit(spark, d):
+    """Weekly model of daily movements by maximum likelihood: coefficients, standard errors, criteria."""
+    fitted = arima_ml.fit(_movements(spark, d), WEEKLY)
+    names = arima_ml.coefficient_names(WEEKLY)
+    columns = [F.get(kind, F.lit(i)).alias(f"{kind}_{n}") for kind in ("coefficients", "errors") for i, n in enumerate(names)]
+    wide = fitted.select("series_key", "used", "converged", "sigma2", "loglik", "aic", "aicc", "bic", *columns)
+    return _rounded(wide, **{c: 4 for c in wide.columns if c not in ("series_key", "used", "converged")})
+
+
+@query
+def order_search(spark, d):
+    """Orders of a plain model chosen for the daily movements of every role."""
+    return _rounded(orders.search(stored(_movements(spark, d), "daily"), 1, most=(2, 1, 0, 0)), aicc=3)
+
+
+@query
+def series_clean_decomposed(spark, d):
+    """Outliers of daily CO2 found after a weekly season and a smooth of variable span are taken off."""
+    raw = stored(_role_series(spark, d), "daily")
+    return _rounded(stl.clean_by_decomposition(raw, 7, smooth.boxcox_lambda(raw, 7)), cleaned=0)
