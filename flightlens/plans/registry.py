@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flightlens.functions import classify, nulls, scalars
 from flightlens.operators import (
-    aggregate, arima_ml, clean, correlation, diagnostics, enrich, order_search as orders, polyfit, reshape, sarima, series, smooth, stl,
+    aggregate, arima_ml, clean, correlation, diagnostics, enrich, polyfit, reshape, sarima, series, smooth, stl,
 )
 from flightlens.plans import emissions as em
 from flightlens.plans import forecasts, prototype, reports
@@ -666,12 +666,6 @@ def sarima_ml_fit(spark, d):
     return _rounded(wide, **{c: 4 for c in wide.columns if c not in ("series_key", "used", "converged")})
 
 
-@query
-def order_search(spark, d):
-    """Orders of a plain model chosen for the daily movements of every role."""
-    return _rounded(orders.search(stored(_movements(spark, d), "daily"), 1, most=(2, 1, 0, 0)), aicc=3)
-
-
 @query
 def series_clean_decomposed(spark, d):
     """Outliers of daily CO2 found after a weekly season and a smooth of variable span are taken off."""
