@@ -611,7 +611,6 @@ def co2_forecast(spark, d):
 # Weights of the past at which the likelihood is computed; a seasonal moving average, multiplied out.
 GIVEN_AR, GIVEN_MA = {1: 0.3, 2: -0.1}, {1: 0.4, 7: 0.2, 8: 0.08}
 GIVEN = sarima.Sarima((2, 1, 1), (0, 0, 1), 7)
-WEEKLY = sarima.Sarima((1, 1, 1), (0, 0, 1), 7)
 
 
 def _given_likelihood(spark, d):
@@ -656,16 +655,6 @@ def stl_pass(spark, d):
     return _rounded(parts, seasonal=6, trend=6, remainder=6)
 
 
-@query
-def sarima_ml_fit(spark, d):
-    """Weekly model of daily movements by maximum likelihood: coefficients, standard errors, criteria."""
-    fitted = arima_ml.fit(_movements(spark, d), WEEKLY)
-    names = arima_ml.coefficient_names(WEEKLY)
-    columns = [F.get(kind, F.lit(i)).alias(f"{kind}_{n}") for kind in ("coefficients", "errors") for i, n in enumerate(names)]
-    wide = fitted.select("series_key", "used", "converged", "sigma2", "loglik", "aic", "aicc", "bic", *columns)
-    return _rounded(wide, **{c: 4 for c in wide.columns if c not in ("series_key", "used", "converged")})
-
-
 @query
 def series_clean_decomposed(spark, d):
     """Outliers of daily CO2 found after a weekly season and a smooth of variable span are taken off."""

@@ -31,8 +31,8 @@ def duck():
     return connect(FOLDER)
 
 
-# Iterated fits and robust smoothers; tests/test_arima_ml.py and tests/test_stl.py hold them against plain versions.
-WITHOUT_TWIN = {"sarima_ml_fit", "series_clean_decomposed"}
+# Robust smoothers; tests/test_stl.py holds them against plain versions.
+WITHOUT_TWIN = {"series_clean_decomposed"}
 
 
 def test_queries_and_twins_pair_up():
