@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
-def solve(rows: Column, size: int, tolerance: float = 1e-14) -> Column:
-    """Solve a symmetric positive system given as ``size`` rows of ``size + 1`` numbers.
+def reduced(rows: Column, size: int, tolerance: float = 1e-14) -> Column:
+    """Bring the left ``size`` columns of a symmetric positive system to the identity; null without a pivot.
 
     Gauss-Jordan without row exchange, folded over the pivot position. Scale the system to order one
-    first: a pivot within ``tolerance`` of zero makes the whole solution null.
+    first: a pivot within ``tolerance`` of zero makes the whole result null.
     """
 
     def eliminate(matrix: Column, k: Column) -> Column:
@@ -23,8 +23,12 @@ def solve(rows: Column, size: int, tolerance: float = 1e-14) -> Column:
             ),
         )
 
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(size)), rows, eliminate)
-    return F.transform(solved, lambda row: F.element_at(row, -1))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(size)), rows, eliminate)
+
+
+def solve(rows: Column, size: int, tolerance: float = 1e-14) -> Column:
+    """Solve a symmetric positive system given as ``size`` rows of ``size + 1`` numbers; see :func:`reduced`."""
+    return F.transform(reduced(rows, size, tolerance), lambda row: F.element_at(row, -1))
 
 
 def dot(left: Column, right: Column) -> Column:

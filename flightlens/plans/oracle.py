@@ -270,6 +270,45 @@ oracle(
   {rounded('c3', 6)} AS c3, n FROM price_fit""",
     "price_fit",
 )
+# the orthogonal polynomials' coefficients are uncorrelated, so the variance of a sum is the sum of variances
+part(
+    "price_lengths",
+    """SELECT p_type, sum(n * p1 * p1) AS q1, sum(n * p2 * p2) AS q2, sum(n * p3 * p3) AS q3
+  FROM price_fit_p3 GROUP BY 1""",
+    "price_fit_p3",
+)
+part(
+    "price_fitted",
+    """SELECT p_type, x, p1, p2, p3, d.n, d0 + d1 * p1 + d2 * p2 + d3 * p3 AS fitted, d0, d.a0, d.a1, d.a2, d.b1, d.b2
+  FROM price_fit_p3 c JOIN price_fit_d d USING (p_type)""",
+    "price_fit_p3", "price_fit_d",
+)
+part(
+    "price_sigma",
+    """SELECT p_type, n, n - 4 AS freedom, sqrt(rss / (n - 4)) AS sigma, 1 - rss / tss AS r2,
+    1 - rss / tss * (n - 1) / (n - 4) AS adjusted_r2, a0, a1, a2, b1, b2
+  FROM (SELECT p_type, any_value(n) AS n, sum(pow(l_extendedprice - fitted, 2)) AS rss, sum(pow(l_extendedprice - d0, 2)) AS tss,
+      any_value(a0) AS a0, any_value(a1) AS a1, any_value(a2) AS a2, any_value(b1) AS b1, any_value(b2) AS b2
+    FROM obs JOIN price_fitted USING (p_type) WHERE l_quantity = x GROUP BY 1)""",
+    "obs", "price_fitted",
+)
+oracle(
+    "fuel_fit_statistics",
+    f"""SELECT p_type, n, freedom, {rounded('sigma', 4)} AS sigma, {rounded('r2', 8)} AS r2, {rounded('adjusted_r2', 8)} AS adjusted_r2,
+  {rounded('sigma * sqrt(1 / n + a0 * a0 / q1 + pow(a0 * a1 - b1, 2) / q2 + pow(b2 * a0 - a2 * (a0 * a1 - b1), 2) / q3)', 4)} AS se0,
+  {rounded('sigma * sqrt(1 / q1 + pow(a0 + a1, 2) / q2 + pow(a0 * a1 - b1 + a2 * (a0 + a1) - b2, 2) / q3)', 5)} AS se1,
+  {rounded('sigma * sqrt(1 / q2 + pow(a0 + a1 + a2, 2) / q3)', 6)} AS se2, {rounded('sigma * sqrt(1 / q3)', 7)} AS se3
+FROM price_sigma JOIN price_lengths USING (p_type)""",
+    "price_sigma", "price_lengths",
+)
+oracle(
+    "fuel_fit_predicted",
+    f"""SELECT p_type, x AS l_quantity, {rounded('fitted', 4)} AS fitted, {rounded('sigma * sqrt(reach)', 4)} AS fit_error,
+  {rounded('sigma * sqrt(1 + reach)', 4)} AS prediction_error
+FROM (SELECT p_type, x, fitted, sigma, 1 / f.n + p1 * p1 / q1 + p2 * p2 / q2 + p3 * p3 / q3 AS reach
+  FROM price_fitted f JOIN price_sigma USING (p_type) JOIN price_lengths USING (p_type))""",
+    "price_fitted", "price_sigma", "price_lengths",
+)
 part("far", "SELECT p_type, l_quantity + 1000 AS l_quantity, l_extendedprice FROM obs", "obs")
 cubic_fit("far_fit", "far", "p_type", "l_quantity", "l_extendedprice")
 oracle(
@@ -564,6 +603,67 @@ FROM sums JOIN (SELECT aircraft_role, datediff('day', DATE '1970-01-01', min(fli
 WHERE x0 BETWEEN lo AND hi""",
     "sums", "daily_role",
 )
+part(
+    "year_days",
+    """SELECT aircraft_role, CAST(datediff('day', DATE '1970-01-01', flight_day) AS DOUBLE) AS x, v FROM daily_role
+  WHERE flight_day BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'""",
+    "daily_role",
+)
+part(
+    "loess_places",
+    """SELECT aircraft_role, near, unnest(list_concat(list_transform(xs, lambda x: {'x0': x, 'seen': TRUE}),
+      list_transform(range(80), lambda i: {'x0': lo + (hi - lo) * i / 79, 'seen': FALSE})), recursive := TRUE)
+  FROM (SELECT aircraft_role, list(x) AS xs, min(x) AS lo, max(x) AS hi, CAST(floor(count(*) * 0.75 + 1e-5) AS BIGINT) AS near
+    FROM year_days GROUP BY 1) WHERE near >= 3""",
+    "year_days",
+)
+part(
+    "loess_pairs",
+    """SELECT aircraft_role, x0, seen, x, v, h, (x - x0) / h AS u, pow(greatest(1 - pow(abs(x - x0) / h, 3), 0), 3) AS w
+  FROM year_days JOIN (SELECT aircraft_role, x0, seen, list_sort(list(abs(x - x0)))[any_value(near)] AS h
+    FROM loess_places JOIN year_days USING (aircraft_role) GROUP BY ALL) USING (aircraft_role)""",
+    "loess_places", "year_days",
+)
+part(
+    "loess_sums",
+    f"""SELECT aircraft_role, x0, seen, count(DISTINCT x) FILTER (w > 0) AS places, any_value(v) FILTER (x = x0) AS own_v,
+    {', '.join(f'sum(w * pow(u, {k})) AS s{k}, sum(w * w * pow(u, {k})) AS r{k}' for k in range(5))},
+    {', '.join(f'sum(w * v * pow(u, {k})) AS t{k}' for k in range(3))} FROM loess_pairs GROUP BY ALL""",
+    "loess_pairs",
+)
+# first row of the inverse of the 3 x 3 normal matrix by cofactors
+part(
+    "loess_rows",
+    """SELECT *, c0 / det AS e0, c1 / det AS e1, c2 / det AS e2 FROM (SELECT *, s0 * c0 + s1 * c1 + s2 * c2 AS det
+  FROM (SELECT *, s2 * s4 - s3 * s3 AS c0, s2 * s3 - s1 * s4 AS c1, s1 * s3 - s2 * s2 AS c2 FROM loess_sums))""",
+    "loess_sums",
+)
+part(
+    "loess_fits",
+    """SELECT aircraft_role, x0, seen, places, own_v, e0, e0 * t0 + e1 * t1 + e2 * t2 AS fit,
+    e0 * e0 * r0 + 2 * e0 * e1 * r1 + (2 * e0 * e2 + e1 * e1) * r2 + 2 * e1 * e2 * r3 + e2 * e2 * r4 AS len FROM loess_rows""",
+    "loess_rows",
+)
+part(
+    "loess_whole",
+    """SELECT aircraft_role, freedom, sqrt(rss / freedom) AS sigma FROM (SELECT aircraft_role, sum(pow(own_v - fit, 2)) AS rss,
+    count(*) - 2 * sum(e0) + sum(len) AS freedom FROM loess_fits WHERE seen GROUP BY 1 HAVING min(places) >= 3)""",
+    "loess_fits",
+)
+oracle(
+    "role_trend_loess",
+    f"""SELECT aircraft_role, {rounded('x0', 6)} AS x, {rounded('fit', 0)} AS trend, {rounded('sigma * sqrt(len)', 0)} AS error,
+  {rounded('sigma', 0)} AS sigma, {rounded('freedom', 6)} AS freedom
+FROM loess_fits JOIN loess_whole USING (aircraft_role) WHERE NOT seen""",
+    "loess_fits", "loess_whole",
+)
+oracle(
+    "price_quantiles",
+    f"""SELECT l_returnflag, l_linestatus, probability, {rounded('quantile', 6)} AS quantile
+FROM (SELECT l_returnflag, l_linestatus, unnest([0, 0.25, 0.5, 0.75, 0.99, 1]::DOUBLE[]) AS probability,
+    unnest(quantile_cont(CAST(l_extendedprice AS DOUBLE), [0, 0.25, 0.5, 0.75, 0.99, 1])) AS quantile
+  FROM lineitem GROUP BY l_returnflag, l_linestatus)""",
+)
 oracle(
     "yearly_by_type",
     """SELECT aircraft_type, round_even(CAST(sum(co2) AS DOUBLE) / 1e6, 0) AS total_CO2 FROM facts

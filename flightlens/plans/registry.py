@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from flightlens.functions import classify, nulls, scalars
 from flightlens.operators import (
-    aggregate, arima_ml, clean, correlation, diagnostics, enrich, polyfit, reshape, sarima, series, smooth, stl,
+    aggregate, arima_ml, clean, correlation, diagnostics, enrich, polyfit, quantiles, reshape, sarima, series, smooth, stl, trend,
 )
 from flightlens.plans import emissions as em
 from flightlens.plans import forecasts, prototype, reports
@@ -120,6 +120,23 @@ def fuel_fit_far(spark, d):
     return _rounded(polyfit.fit_polynomial(far, "p_type", "l_quantity", "l_extendedprice"), c0=-2, c1=1, c2=4, c3=7)
 
 
+@query
+def fuel_fit_statistics(spark, d):
+    """Residual error, explained share and standard errors of the cubic per part type."""
+    found = polyfit.fit_statistics(st.observations(spark, d), "p_type", "l_quantity", "l_extendedprice")
+    shown = found.select("p_type", "n", "freedom", "sigma", "r2", "adjusted_r2", "se0", "se1", "se2", "se3")
+    return _rounded(shown, sigma=4, r2=8, adjusted_r2=8, se0=4, se1=5, se2=6, se3=7)
+
+
+@query
+def fuel_fit_predicted(spark, d):
+    """The cubic's value at every quantity of a part type, with the errors of the mean and of a new value."""
+    seen = st.observations(spark, d)
+    model = polyfit.fit_statistics(seen, "p_type", "l_quantity", "l_extendedprice")
+    at = seen.select("p_type", F.col("l_quantity").cast("double").alias("l_quantity")).distinct()
+    return _rounded(polyfit.predict(at, model, "p_type", "l_quantity"), fitted=4, fit_error=4, prediction_error=4)
+
+
 @query
 def fuel_grid_fit(spark, d):
     """Cubic per type of the wide fuel grid."""
@@ -399,6 +416,31 @@ def local_trend(spark, d):
     return _rounded(reports.role_trend(reports.co2_day_role(st.emissions(spark, d))), trend=0)
 
 
+@query
+def role_trend_loess(spark, d):
+    """Nearest-neighbour local quadratic of one year's daily CO2 per role, with standard errors."""
+    daily = clean.date_range(reports.co2_day_role(st.emissions(spark, d)), "flight_day", *YEAR)
+    dated = daily.withColumn("x", F.unix_date(F.col("flight_day").cast("date")))
+    return _rounded(trend.loess(dated, ["aircraft_role"], "x", "CO2_daily"), x=6, trend=0, error=0, sigma=0, freedom=6)
+
+
+@query
+def role_trend_spline(spark, d):
+    """Penalised spline of all days' CO2 per role, with standard errors."""
+    dated = reports.co2_day_role(st.emissions(spark, d)).withColumn("x", F.unix_date(F.col("flight_day").cast("date")))
+    return trend.spline(dated, ["aircraft_role"], "x", "CO2_daily")
+
+
+@query
+def price_quantiles(spark, d):
+    """Exact quartiles and extremes of all line prices per flag and status, without gathering a group."""
+    lines = st.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    found = quantiles.exact_quantiles(
+        lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.0, 0.25, 0.5, 0.75, 0.99, 1.0], gathered=1000
+    )
+    return _rounded(found, quantile=6)
+
+
 @query
 def yearly_by_type(spark, d):
     """CO2 per type in one year, in 10^6 units, largest first."""

@@ -31,8 +31,8 @@ def duck():
     return connect(FOLDER)
 
 
-# Robust smoothers; tests/test_stl.py holds them against plain versions.
-WITHOUT_TWIN = {"series_clean_decomposed"}
+# Robust smoothers and a penalty chosen by cross-validation; tests/test_stl.py and test_trend.py hold them against plain versions.
+WITHOUT_TWIN = {"series_clean_decomposed", "role_trend_spline"}
 
 
 def test_queries_and_twins_pair_up():
