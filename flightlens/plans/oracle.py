@@ -618,12 +618,18 @@ part(
     "year_days",
 )
 part(
-    "loess_pairs",
-    """SELECT aircraft_role, x0, seen, x, v, h, (x - x0) / h AS u, pow(greatest(1 - pow(abs(x - x0) / h, 3), 0), 3) AS w
-  FROM year_days JOIN (SELECT aircraft_role, x0, seen, list_sort(list(abs(x - x0)))[any_value(near)] AS h
-    FROM loess_places JOIN year_days USING (aircraft_role) GROUP BY ALL) USING (aircraft_role)""",
+    "loess_ranked",
+    """SELECT aircraft_role, x0, seen, near, x, v, abs(x - x0) AS gap,
+    row_number() OVER (PARTITION BY aircraft_role, x0, seen ORDER BY abs(x - x0)) AS place
+  FROM loess_places JOIN year_days USING (aircraft_role)""",
     "loess_places", "year_days",
 )
+part(
+    "loess_pairs",
+    """SELECT aircraft_role, x0, seen, x, v, (x - x0) / h AS u, pow(greatest(1 - pow(gap / h, 3), 0), 3) AS w
+  FROM (SELECT *, max(gap) FILTER (place = near) OVER (PARTITION BY aircraft_role, x0, seen) AS h FROM loess_ranked)""",
+    "loess_ranked",
+)
 part(
     "loess_sums",
     f"""SELECT aircraft_role, x0, seen, count(DISTINCT x) FILTER (w > 0) AS places, any_value(v) FILTER (x = x0) AS own_v,
