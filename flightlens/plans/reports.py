@@ -11,6 +11,7 @@ from flightlens.functions.nulls import strict_sum
 from flightlens.functions.scalars import matches_any_prefix, round_half_even
 from flightlens.operators import aggregate, clean, enrich, reshape
 from flightlens.operators.smooth import local_trend
+from flightlens.operators.trend import smooth_trend
 
 
 def report_cells(emissions: DataFrame) -> DataFrame:
@@ -49,6 +50,12 @@ def role_trend(daily: DataFrame, bandwidth: int = 90, step: int = 7) -> DataFram
     return trend.select("aircraft_role", F.date_from_unix_date(F.col("x").cast("int")).alias("flight_day"), "trend")
 
 
+def role_smooth(daily: DataFrame) -> DataFrame:
+    """Trend of daily CO2 per role at 80 places with its standard error: ``aircraft_role, x`` (days since 1970), ``trend, error, sigma, freedom``."""
+    dated = daily.withColumn("x", F.unix_date(F.col("flight_day").cast("date")))
+    return smooth_trend(dated, ["aircraft_role"], "x", "CO2_daily")
+
+
 def co2_by_type(emissions: DataFrame, start: date, end: date, divisor: float = 1e6) -> DataFrame:
     """CO2 per type in a period, in units of ``divisor`` kg rounded half to even, largest first."""
     period = clean.date_range(emissions, "flight_day", start, end)
