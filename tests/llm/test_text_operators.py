@@ -410,3 +410,15 @@ def test_pipeline(spark):
     source = spark.read.parquet(f"{FOLDER}/documents.parquet")
     assert spread.columns[: len(source.columns)] == source.columns and spread.count() > 50
     assert spread.join(source, ["doc_id", "text"], "left_anti").count() == 0
+
+
+def test_word_codes_tell_words_apart():
+    rng = random.Random(3)
+    made = ["".join(rng.choice("aAbé漢x") for _ in range(rng.choice([1, 2, 7, 8, 9, 16, 17, 60, 64, 65, 3000]))) for _ in range(4000)]
+    text = " ".join(made)
+    codes = paragraphs._words(text, np.array([len(text)]))["code"].tolist()
+    seen = {}
+    for word, code in zip(made, codes, strict=True):
+        assert seen.setdefault(word.encode().lower(), code) == code
+    assert len(set(seen.values())) == len(seen)
+    assert len(paragraphs._words("", np.array([0]))["code"]) == 0
